@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import capping, encoding, mixing, packing, splitting
+from folioscope.llm import capping, encoding, mixing, neardup, packing, splitting
 from folioscope.runtime import table
 
 
@@ -35,6 +35,14 @@ def p3_kept(spark: SparkSession, d: str) -> DataFrame:
     return _capped(spark, d).where("kept").groupBy("query_id").agg(F.count("*").alias("n_kept"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_pairs(neardup.paragraphs(table(spark, d, "structured_chunks"))).select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_groups(neardup.paragraphs(table(spark, d, "structured_chunks"))).withColumnRenamed("id", "chunk_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = splitting.split_items(table(spark, d, "structured_chunks"), table(spark, d, "chunk_limits"), emit_text=False)
     return pieces.where("piece = 1").select(F.col("item").alias("chunk_id")).distinct()
@@ -57,7 +65,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p2_found, p2_contexts, p3_found, p3_kept, p6_found, p6_pieces, p7_ids, p8_selection, p8_shares]
+    names = [p2_found, p2_contexts, p3_found, p3_kept, p5_found, p5_groups, p6_found, p6_pieces, p7_ids, p8_selection, p8_shares]
     return {f.__name__: f for f in names}
 
 
