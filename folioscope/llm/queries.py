@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import capping, encoding, mixing, neardup, packing, splitting
+from folioscope.llm import capping, encoding, lookalike, mixing, neardup, packing, splitting
 from folioscope.runtime import table
 
 
+def _plain(spark: SparkSession, d: str, changed_only: bool) -> DataFrame:
+    fields = lookalike.fields_of(table(spark, d, "alias_sources"), table(spark, d, "structured_chunks"))
+    return lookalike.plain_forms(fields, lookalike.glossary_texts(table(spark, d, "glossary")), changed_only)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _plain(spark, d, True).select("source_table", "record_id", "field").distinct()
+
+
+def p1_plain(spark: SparkSession, d: str) -> DataFrame:
+    return _plain(spark, d, False).select("source_table", "record_id", "field", "plain").distinct()
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_items(table(spark, d, "focal_items"), table(spark, d, "retrieval_queries"), table(spark, d, "readers"))
 
@@ -65,7 +78,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p2_found, p2_contexts, p3_found, p3_kept, p5_found, p5_groups, p6_found, p6_pieces, p7_ids, p8_selection, p8_shares]
+    names = [p1_found, p1_plain, p2_found, p2_contexts, p3_found, p3_kept, p5_found, p5_groups, p6_found, p6_pieces, p7_ids, p8_selection, p8_shares]
     return {f.__name__: f for f in names}
 
 
