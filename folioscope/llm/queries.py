@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import capping, encoding, lookalike, mixing, neardup, packing, splitting
+from folioscope.llm import capping, encoding, lookalike, mixing, neardup, packing, sentences, splitting
 from folioscope.runtime import table
 
 
@@ -77,8 +77,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_spans(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_plain, p2_found, p2_contexts, p3_found, p3_kept, p5_found, p5_groups, p6_found, p6_pieces, p7_ids, p8_selection, p8_shares]
+    names = [p1_found, p1_plain, p2_found, p2_contexts, p3_found, p3_kept, p5_found, p5_groups, p6_found, p6_pieces, p7_ids, p8_selection, p8_shares, p9_found]
     return {f.__name__: f for f in names}
 
 
