@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import capping, encoding, lookalike, mixing, neardup, packing, sentences, splitting
+from folioscope.llm import capping, encoding, lookalike, mixing, neardup, packing, scannoise, sentences, splitting
 from folioscope.runtime import table
 
 
@@ -48,6 +48,14 @@ def p3_kept(spark: SparkSession, d: str) -> DataFrame:
     return _capped(spark, d).where("kept").groupBy("query_id").agg(F.count("*").alias("n_kept"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scannoise.find_noise(table(spark, d, "structured_chunks"), table(spark, d, "papers"))
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scannoise.repaired(table(spark, d, "structured_chunks"), table(spark, d, "papers"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(neardup.paragraphs(table(spark, d, "structured_chunks"))).select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
 
@@ -82,7 +90,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_plain, p2_found, p2_contexts, p3_found, p3_kept, p5_found, p5_groups, p6_found, p6_pieces, p7_ids, p8_selection, p8_shares, p9_found]
+    names = [p1_found, p1_plain, p2_found, p2_contexts, p3_found, p3_kept, p4_found, p4_repaired, p5_found, p5_groups, p6_found, p6_pieces, p7_ids, p8_selection, p8_shares, p9_found]
     return {f.__name__: f for f in names}
 
 
