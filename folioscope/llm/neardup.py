@@ -7,7 +7,8 @@ all pairs whose signatures differ in at most ``CHUNKS * (ERRORS + 1) - 1`` symbo
 0.75 is missed with probability 0.004, one at 0.8 with 0.0006. Pairs that share a key are then checked exactly.
 
 Texts with the same set of words are collapsed before, so exact copies cost one signature; buckets of more than
-``BUCKET`` texts are joined by blocks instead of in one task.
+``BUCKET`` texts leave their task as blocks of that size, whose pairs are spread over all tasks. Words are kept as
+32-bit hashes and keys as 40-bit numbers, which halves what is shuffled; a clash of two keys only adds a pair to check.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ _MIX = _rng.integers(1, 2**63, CHUNKS * WIDTH, dtype=np.uint64) | np.uint64(1)
 
 @lru_cache(maxsize=1 << 18)
 def _hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+    return xxhash.xxh32_intdigest(word)
 
 
 def word_set(text: str) -> list[int]:
@@ -69,9 +70,9 @@ def index_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def word_sets(items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, set_id, words): the word set of every text of ``items`` (id, text) with at least ``min_words`` words.
+    """(id, own, words): the word set of every text of ``items`` (id, text) with at least ``min_words`` words.
 
-    set_id is a 64-bit hash of the set; equal sets share it, and equality of words is checked again with every pair.
+    own is a 64-bit hash of the set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,13 +81,13 @@ def word_sets(items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = word_set(t)
                 if len(s) >= min_words:
-                    a = np.array(s, dtype=np.uint64)
+                    a = np.array(s, dtype=np.uint32)
                     ids.append(i)
                     sids.append(xxhash.xxh3_64_intdigest(a.tobytes()))
-                    sets.append(a.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(np.array(sids, dtype=np.uint64).view(np.int64), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set_id", "words"])
+                    sets.append(a.view(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(np.array(sids, dtype=np.uint64).view(np.int64), pa.int64()), pa.array(sets, pa.list_(pa.int32()))], names=["id", "own", "words"])
 
-    return items.select("id", "text").mapInArrow(run, "id string, set_id bigint, words array<bigint>")
+    return items.select("id", "text").mapInArrow(run, "id string, own bigint, words array<int>")
 
 
 def _keys(sets: DataFrame) -> DataFrame:
@@ -95,34 +96,79 @@ def _keys(sets: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             own = b.column(0).to_numpy()
-            flat, at = b.column(1).flatten().to_numpy().view(np.uint64), b.column(1).offsets.to_numpy()
+            flat, at = b.column(1).flatten().to_numpy().view(np.uint32).astype(np.uint64), b.column(1).offsets.to_numpy()
             at = at - at[0]
             for k in range(0, len(own), 512):
                 n = min(512, len(own) - k)
                 part = [flat[at[i] : at[i + 1]] for i in range(k, k + n)]
-                keys = index_keys(signatures(part)).view(np.int64)
+                keys = (index_keys(signatures(part)) >> np.uint64(24)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(own[k : k + n], keys.shape[1]))], names=["key", "set_id"])
 
     return sets.select("set_id", "words").mapInArrow(run, "key bigint, set_id bigint")
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, set_id) arrive sorted: pairs of the small buckets, and blocks of the large ones (key, block number, ids)."""
+
+    def out(a: list, b: list, blocks: list[tuple]) -> pa.RecordBatch:
+        n, m = len(a), len(blocks)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a + [None] * m, pa.int64()), pa.array(b + [None] * m, pa.int64()), pa.array([None] * n + [x[0] for x in blocks], pa.int64()), pa.array([None] * n + [x[1] for x in blocks], pa.int32()), pa.array([None] * n + [x[2] for x in blocks], pa.list_(pa.int64()))],
+            names=["a", "b", "key", "no", "ids"],
+        )
+
+    held_key, held, no = None, [], 0  # the bucket that may go on in the next batch, and how many blocks of it have left
+
+    def close(a: list, b: list, blocks: list[tuple]) -> None:
+        nonlocal held, no
+        if no:
+            blocks.append((held_key, no, held))
+        else:
+            for i in range(len(held) - 1):
+                a += [held[i]] * (len(held) - 1 - i)
+                b += held[i + 1 :]
+        held, no = [], 0
+
+    for batch in batches:
+        keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(keys):
+            continue
+        a, b, blocks = [], [], []
+        starts = np.concatenate(([0], np.nonzero(keys[1:] != keys[:-1])[0] + 1))
+        ends = np.concatenate((starts[1:], [len(keys)]))
+        # Buckets of one inside the batch have no pair; the first and the last may be part of a longer one.
+        for k in np.unique(np.concatenate(([0], np.nonzero(ends - starts > 1)[0], [len(starts) - 1]))):
+            s, e, key = int(starts[k]), int(ends[k]), int(keys[starts[k]])
+            if key != held_key:
+                close(a, b, blocks)
+                held_key = key
+            held += ids[s:e].tolist()
+            while len(held) > BUCKET:
+                blocks.append((key, no, held[:BUCKET]))
+                held, no = held[BUCKET:], no + 1
+        if a or blocks:
+            yield out(a, b, blocks)
+    a, b, blocks = [], [], []
+    close(a, b, blocks)
+    yield out(a, b, blocks)
+
+
 def candidate_pairs(sets: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, of set_ids that share an index key."""
-    buckets = _keys(sets).groupBy("key").agg(F.collect_set("set_id").alias("ids")).where(F.size("ids") > 1)
-    buckets = cut(buckets.select("key", F.array_sort("ids").alias("ids")))
-    small = buckets.where(F.size("ids") <= BUCKET).select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-    # Large buckets: every pair of blocks is one row, so that no task holds all pairs of a bucket.
-    blocks = buckets.where(F.size("ids") > BUCKET).select("ids", F.explode(F.expr(f"sequence(0, cast((size(ids) - 1) / {BUCKET} as int))")).alias("i"))
-    blocks = blocks.select("ids", "i", F.explode(F.expr(f"sequence(i, cast((size(ids) - 1) / {BUCKET} as int))")).alias("j"))
-    blocks = blocks.select(F.expr(f"slice(ids, i * {BUCKET} + 1, {BUCKET})").alias("x"), F.expr(f"slice(ids, j * {BUCKET} + 1, {BUCKET})").alias("y")).repartition("x", "y")
-    large = blocks.select(F.explode("x").alias("a"), "y").select("a", F.explode("y").alias("b")).where("a < b")
-    return small.unionByName(large).distinct()
+    keys = _keys(sets)
+    found = cut(keys.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(_buckets, "a bigint, b bigint, key bigint, no int, ids array<bigint>"))
+    small = found.where("a is not null").select("a", "b")
+    blocks = found.where("key is not null").select("key", "no", "ids")
+    other = blocks.select("key", F.col("no").alias("no2"), F.col("ids").alias("ids2"))
+    met = blocks.join(other, "key").where("no <= no2")
+    large = met.repartition("key", "no", "no2").select(F.explode("ids").alias("a"), "ids2").select("a", F.explode("ids2").alias("b")).where("a < b")
+    return small.unionByName(large).where("a <> b").distinct()
 
 
 def similar_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity) of set_ids at or over the similarity; ``sets`` has one row per set_id."""
     pairs = candidate_pairs(sets)
-    x = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("words").alias("wa")), "a").where(F.size("wa") > 0)
+    x = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("words").alias("wa")), "a")
     x = x.join(sets.select(F.col("set_id").alias("b"), F.col("words").alias("wb")), "b")
     both = F.size(F.array_intersect("wa", "wb")).cast("double")
     share = both / (F.size("wa") + F.size("wb") - both)
@@ -138,8 +184,8 @@ def paragraphs(chunks: DataFrame) -> DataFrame:
 
 def prepared(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, sets): which id has which set (one row each, delivered twice or not), and each set once."""
-    all_sets = word_sets(items)
-    packed = cut(all_sets.groupBy("set_id").agg(F.first("words").alias("words"), F.collect_set("id").alias("ids")))
+    packed = word_sets(items).groupBy("own").agg(F.first("words").alias("words"), F.collect_set("id").alias("ids"))
+    packed = cut(packed.select(F.monotonically_increasing_id().alias("set_id"), "words", "ids"))
     return packed.select("set_id", F.explode("ids").alias("id")), packed.select("set_id", "words")
 
 
@@ -175,7 +221,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def near_groups(items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, class_id, n_links): one row per text with enough words; class_id is that of the smallest set of its group,
+    """(id, class_id, n_links): one row per text with enough words; class_id is the same for all of a group,
     n_links counts the other texts it is directly similar to, copies included."""
     members, sets = prepared(items)
     linked = cut(similar_sets(sets, similarity).select("a", "b"))
