@@ -3,7 +3,7 @@
 Method: union-find over strings and code points. Each known likeness (a compatibility form and its base, a letter with
 combining accent and the accented letter, a ligature and its letters, letters of the same look in other scripts,
 blanks, characters without any look) joins two strings; the classes are transitive. One member represents a class:
-the most frequent in the whole collection, counted apart for words in Latin, Cyrillic and Greek letters, so that
+of those in normal form, the most frequent in the whole collection, counted apart for words in Latin, Cyrillic and Greek letters, so that
 a Russian word keeps its letters and a borrowed letter in another word does not. Texts are rewritten from left to right,
 longest match first, by a multi-pattern automaton over all other members.
 
@@ -200,8 +200,9 @@ class Rewriter:
                 if "" in own:
                     best = ""
                 else:
-                    # Of equal counts a single code point comes first, then the smaller one.
-                    best = max(own, key=lambda x: (counts[script][x], x.isascii() and x.isprintable(), len(x) == 1, [-ord(ch) for ch in x]))
+                    # Compatibility forms and letters with loose accents only if there is nothing else; of equal counts
+                    # printable ASCII comes first, then a single code point, then the smaller one.
+                    best = max(own, key=lambda x: (unicodedata.normalize("NFKC", x) == x, counts[script][x], x.isascii() and x.isprintable(), len(x) == 1, [-ord(ch) for ch in x]))
                 table |= {x: best for x in own if x != best and not (len(x) > 1 and regex.search(r"\p{M}", x) is None)}
             self.tables[script] = table
         self.trees: dict = {}

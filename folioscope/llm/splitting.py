@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -99,17 +100,17 @@ class Fold:
         return [(self.start, length)] if length > self.last else []
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         d = b.to_pydict()
-        found = [boundaries(t, lo, lo + min(RANGE, n - k * RANGE), k * RANGE - lo) for t, lo, n, k in zip(d["text"], d["halo"], d["n"], d["range"])]
+        found = [boundaries(t, lo, lo + min(size, n - k * size), k * size - lo) for t, lo, n, k in zip(d["text"], d["halo"], d["n"], d["range"])]
         yield pa.RecordBatch.from_arrays(
             [b.column(b.schema.get_field_index(c)) for c in ("item", "n", "most", "overlap", "range")] + [pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([r for _, r in found], pa.list_(pa.int32()))],
             names=["item", "n", "most", "overlap", "range", "at", "rank"],
         )
 
 
-def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stitch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Rows arrive sorted by (item, range)."""
     item, n, fold, no = None, 0, None, 0
 
@@ -124,12 +125,12 @@ def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         d, out = b.to_pydict(), []
-        for it, size, most, overlap, k, at, rank in zip(d["item"], d["n"], d["most"], d["overlap"], d["range"], d["at"], d["rank"]):
+        for it, length, most, overlap, k, at, rank in zip(d["item"], d["n"], d["most"], d["overlap"], d["range"], d["at"], d["rank"]):
             if it != item or fold is None or k == 0:
                 if fold is not None:
                     out += rows(fold.finish(n))
-                item, n, fold, no = it, size, Fold(most, overlap), 0
-            out += rows(fold.feed(at, rank, min(size, (k + 1) * RANGE)))
+                item, n, fold, no = it, length, Fold(most, overlap), 0
+            out += rows(fold.feed(at, rank, min(length, (k + 1) * size)))
         if out:
             yield batch(out)
     if fold is not None:
@@ -154,8 +155,8 @@ def split_items(items: DataFrame, limits: DataFrame, emit_text: bool = True) ->
     big = oversized(items, limits)
     ranges = big.withColumn("range", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / RANGE).cast("int"))))
     ranges = ranges.withColumn("halo", F.least(F.lit(HALO), F.col("range") * RANGE)).withColumn("text", F.expr(f"substring(text, range * {RANGE} - halo + 1, halo + {RANGE + HALO})"))
-    found = ranges.select("item", "n", "most", "overlap", "range", "halo", "text").mapInArrow(_find, "item string, n int, most int, overlap int, range int, at array<int>, rank array<int>")
-    pieces = found.repartition("item").sortWithinPartitions("item", "range").mapInArrow(_stitch, "item string, piece int, start bigint, end bigint")
+    found = ranges.select("item", "n", "most", "overlap", "range", "halo", "text").mapInArrow(partial(_find, size=RANGE), "item string, n int, most int, overlap int, range int, at array<int>, rank array<int>")
+    pieces = found.repartition("item").sortWithinPartitions("item", "range").mapInArrow(partial(_stitch, size=RANGE), "item string, piece int, start bigint, end bigint")
     if not emit_text:
         return pieces
     touched = pieces.withColumn("range", F.explode(F.expr(f"sequence(cast(floor(start / {RANGE}) as int), cast(floor((end - 1) / {RANGE}) as int))")))
