@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions import physics, text
-from folioscope.operators import chunking, context, dedup, evaluation, graph, retrieval
-from folioscope.plans import retriever
+from folioscope.functions import parsing, physics, quality, symbols, text
+from folioscope.operators import chunking, context, dedup, evaluation, graph, layout, provenance, retrieval, signal, tables
+from folioscope.plans import adaptive, retriever
 from folioscope.runtime import table
 from folioscope.sources import store
 from folioscope.streaming import events as streams
@@ -511,6 +511,136 @@ def ret08_hybrid(spark, d):
     return flagship(spark, d)
 
 
+_CELLS = r"""cell AS (SELECT chunk_id, r - 1 AS row, unnest(range(0, len(p))) AS col, unnest(p) AS text FROM (SELECT chunk_id, r, list_transform(string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|'), lambda x: trim(x)) AS p
+    FROM (SELECT chunk_id, unnest(range(1, len(l) + 1)) AS r, unnest(l) AS line FROM (SELECT chunk_id, list_filter(regexp_split_to_array(content, '\r?\n'), lambda x: starts_with(trim(x), '|') AND NOT regexp_matches(x, '^[\s|:-]+$')) AS l
+    FROM (SELECT chunk_id, max(content) AS content FROM structured_chunks WHERE lower(trim(element_type, ' ' || chr(9) || chr(10) || chr(13))) = 'table' AND content IS NOT NULL GROUP BY 1)))))"""
+
+
+def table_cells(spark, d):
+    t = chunks(spark, d).where((text.kind("element_type") == "table") & F.col("content").isNotNull()).groupBy("chunk_id").agg(F.max("content").alias("content"))
+    return tables.cells(t)
+
+
+@query(f"""WITH {_CELLS} SELECT chunk_id, row::INT AS row, col::INT AS col, row = 0 AS header, text FROM cell""")
+def prj08_cells(spark, d):
+    """PRJ-08: cells of every markdown table."""
+    return table_cells(spark, d)
+
+
+@query(f"""WITH {_CELLS}, c AS (SELECT trim(coalesce(text, '')) AS s FROM cell), t AS (SELECT s, regexp_matches(s, '[=<>≈≤≥]') AS rel, regexp_matches(s, '[\\^_αβγδθλκΛ]|[=<>≈≤≥]') AS sym, len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) AS n FROM c),
+    k AS (SELECT CASE WHEN s = '' THEN 'EMPTY' WHEN regexp_matches(s, '^[-+]?\\d+([.,]\\d+)?([eE][-+]?\\d+)?\\s*%?$') THEN 'NUMERIC' WHEN sym AND NOT (n > 4 AND NOT rel) THEN CASE WHEN regexp_matches(s, '\\d') AND regexp_matches(s, '[A-Za-z]') AND (n > 1 OR rel) THEN 'MIXED' ELSE 'FORMULA' END ELSE 'TEXT' END AS kind FROM t)
+    SELECT kind, count(*) AS n FROM k GROUP BY 1""")
+def prj07_cell_types(spark, d):
+    """PRJ-07: how many cells are of which type."""
+    return table_cells(spark, d).groupBy(quality.cell_type("text").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_CELLS}, l AS (SELECT chunk_id, row, string_agg(CASE WHEN regexp_matches(text, '[",\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END, ',' ORDER BY col) AS line FROM cell GROUP BY 1, 2)
+    SELECT chunk_id, string_agg(line, chr(10) ORDER BY row) AS csv FROM l GROUP BY 1""")
+def snk14_csv(spark, d):
+    """SNK-14, PRJ-20: tables as CSV."""
+    return tables.to_csv(table_cells(spark, d))
+
+
+@query()
+def snk14_html(spark, d):
+    """SNK-14: tables as HTML."""
+    return tables.to_html(table_cells(spark, d))
+
+
+@query(f"""WITH {_CELLS} SELECT chunk_id, max(row)::INT AS n_rows, (max(col) + 1)::INT AS n_cols, coalesce(string_agg(CASE WHEN row = 0 THEN text END, ', ' ORDER BY col), '') AS headers FROM cell GROUP BY 1""")
+def snk14_summary(spark, d):
+    """SNK-14: size and headers of every table."""
+    return tables.summary(table_cells(spark, d))
+
+
+@query(r"""WITH f AS (SELECT DISTINCT chunk_id, trim(content) AS s FROM structured_chunks WHERE lower(trim(element_type, ' ' || chr(9) || chr(10) || chr(13))) = 'equation' AND content IS NOT NULL),
+    n AS (SELECT chunk_id, s, (len(regexp_extract_all(s, '\{')) - len(regexp_extract_all(s, '\\\{')) <> len(regexp_extract_all(s, '\}')) - len(regexp_extract_all(s, '\\\}')))::INT + (len(regexp_extract_all(s, '\[')) - len(regexp_extract_all(s, '\\\[')) <> len(regexp_extract_all(s, '\]')) - len(regexp_extract_all(s, '\\\]')))::INT
+      + (len(regexp_extract_all(s, '\(')) - len(regexp_extract_all(s, '\\\(')) <> len(regexp_extract_all(s, '\)')) - len(regexp_extract_all(s, '\\\)')))::INT + regexp_matches(s, '[=+\-*/<>]\s*$')::INT + regexp_matches(s, '\\frac\s*\{[^{}]*\}\s*($|[^{\s])')::INT AS k FROM f)
+    SELECT chunk_id, s <> '' AND k = 0 AS passed, CASE WHEN s = '' THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - 0.25::DOUBLE * k) END AS score FROM n""")
+def fun05_latex_gate(spark, d):
+    """FUN-05 over all equations."""
+    x = chunks(spark, d).where((text.kind("element_type") == "equation") & F.col("content").isNotNull()).select("chunk_id", F.trim("content").alias("s"), quality.latex_gate("content").alias("g"))
+    return x.select("chunk_id", "s", "g.passed", "g.score").distinct().drop("s")
+
+
+@query()
+def flt09_garbled(spark, d):
+    """FLT-09: reasons over all chunks."""
+    return chunks(spark, d).select("chunk_id", quality.garbled("content").alias("reason")).distinct()
+
+
+@query()
+def fun02_tokens(spark, d):
+    """FUN-01, FUN-02: scientific tokens of every query."""
+    return table(spark, d, "retrieval_queries").select("query_id", symbols.token_column(symbols.normalize_column("query_text")).alias("tokens"))
+
+
+@query(r"""SELECT DISTINCT alias_row_id, CASE WHEN n LIKE '%rethetat%' THEN 're_theta_t' WHEN n LIKE '%retr%' THEN 're_tr' WHEN n LIKE '%rex%' THEN 're_x' WHEN n LIKE '%tulocal%' OR n LIKE '%tuxt%' THEN 'tu_xt' WHEN n LIKE '%xend%' THEN 'x_end' WHEN n LIKE '%ltr%' THEN 'l_tr' WHEN n LIKE '%xt%' OR n LIKE '%xonset%' THEN 'x_t' WHEN n LIKE '%lambda%' THEN 'lambda' WHEN n LIKE '%delta%' THEN 'delta' END AS symbol
+    FROM (SELECT alias_row_id, regexp_replace(lower(alias), '[^a-z0-9]', '', 'g') AS n FROM alias_sources WHERE alias IS NOT NULL)""")
+def fun15_base_symbol(spark, d):
+    """FUN-15."""
+    return table(spark, d, "alias_sources").where("alias is not null").select("alias_row_id", provenance.base_symbol("alias").alias("symbol")).distinct()
+
+
+@query("""WITH v AS (SELECT DISTINCT l_suppkey::VARCHAR AS key, l_extendedprice::DOUBLE AS value FROM lineitem WHERE l_linenumber = 1), p AS (SELECT DISTINCT l_suppkey::VARCHAR AS key, l_quantity::DOUBLE AS number FROM lineitem WHERE l_linenumber = 2), s AS (SELECT unnest([1.0::DOUBLE, 1000.0, 0.001, 100.0, 0.01]) AS s)
+    SELECT v.key, v.value, coalesce(bool_or(abs(v.value * s.s - p.number) <= greatest(1e-9, 0.02::DOUBLE * greatest(abs(v.value * s.s), abs(p.number)))), false) AS matched FROM v LEFT JOIN p ON v.key = p.key, s GROUP BY 1, 2""")
+def jon11_tolerance(spark, d):
+    """JON-11, FUN-16: numbers matched against a pool of the same key at five unit scales."""
+    li = table(spark, d, "lineitem")
+    v = li.where("l_linenumber = 1").select(F.col("l_suppkey").cast("string").alias("key"), F.col("l_extendedprice").cast("double").alias("value"))
+    p = li.where("l_linenumber = 2").select(F.col("l_suppkey").cast("string").alias("key"), F.col("l_quantity").cast("double").alias("number"))
+    return provenance.matched_numbers(v, p)
+
+
+@query("""SELECT user_id AS run_id, event_type AS model, count(*) AS calls, sum(event_id) AS tokens_in, sum(length(props)) AS tokens_out FROM events GROUP BY 1, 2""")
+def agg14_ledger(spark, d):
+    """AGG-14."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("model"), F.col("event_id").alias("tokens_in"), F.length("props").alias("tokens_out"))
+    return provenance.ledger(e)
+
+
+@query(f"""WITH {SQL_HITS}, x AS (SELECT h.query_id, h.chunk_id, min(r.paper_id) AS paper_id, min(r.page) AS page, CASE WHEN h.score >= 0.5 THEN 1 ELSE 2 END AS sub, row_number() OVER (PARTITION BY h.query_id ORDER BY h.score DESC, h.chunk_id) AS rank FROM h JOIN retrieved_chunks r USING (query_id, chunk_id) GROUP BY h.query_id, h.chunk_id, h.score),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id, paper_id, page, right(chunk_id, 10) ORDER BY sub, rank, chunk_id) AS k FROM x), p AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY sub, rank, chunk_id) AS pos FROM k WHERE k = 1) SELECT * FROM p WHERE pos <= 8""")
+def ret12_plan(spark, d):
+    """RET-12, RET-25: hits of two sub-queries in order, repeated places once, cut at eight."""
+    place = table(spark, d, "retrieved_chunks").groupBy("query_id", "chunk_id").agg(F.min("paper_id").alias("paper_id"), F.min("page").alias("page"))
+    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "chunk_id")
+    x = hits(spark, d).withColumn("rank", F.row_number().over(w)).withColumn("sub", F.when(F.col("score") >= 0.5, 1).otherwise(2)).join(place, ["query_id", "chunk_id"])
+    return adaptive.plan_hits(x, 8)
+
+
+@query()
+def ret21_adaptive(spark, d):
+    """RET-21: the recorded hits in rounds of ever lower scores until five chunks aren't irrelevant."""
+    h = hits(spark, d).withColumn("rerank", F.coalesce("rerank", F.lit(-99.0)))
+    retrieve = lambda q: h.join(q.select("query_id", "least"), "query_id").where(F.col("score") >= F.col("least")).select("query_id", "chunk_id", "rerank", "label")
+    q = table(spark, d, "retrieval_queries").select("query_id").distinct().withColumn("least", F.lit(0.7))
+    return adaptive.adaptive(q, retrieve, lambda x: x, widen=lambda open_queries, n: open_queries.withColumn("least", F.lit(0.7 - 0.3 * n)))
+
+
+@query()
+def fun31_length_scales(spark, d):
+    """FUN-30, FUN-31: integral scales of every embedding dimension as a record over the vectors."""
+    v = table(spark, d, "embeddings").where("embedding is not null").select("vec_id", F.posexplode("embedding").alias("dim", "u"))
+    return signal.length_scale_table(v.select(F.col("dim").cast("string").alias("key"), F.col("vec_id").alias("pos"), F.col("u").cast("double").alias("u")), 6.2, 1000.0)
+
+
+@query("""WITH x AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM x)), n AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM p),
+    c AS (SELECT doc_id, sum(CASE WHEN regexp_matches(t, '\\p{L}-\\s*$') AND regexp_matches(nxt, '^\\s*\\p{Ll}') THEN 1 ELSE 0 END) AS n FROM n GROUP BY 1) SELECT doc_id, n, CASE WHEN n > 3 THEN greatest(0.5::DOUBLE, 1 - 0.1::DOUBLE * n) ELSE 1.0::DOUBLE END AS score FROM c""".replace("\\\\", "\\"))
+def win06_split_hyphens(spark, d):
+    """WIN-06 over the lines of every document."""
+    x = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return layout.split_hyphens(x)
+
+
+@query()
+def fun08_lenient_json(spark, d):
+    """FUN-08: event properties read leniently."""
+    return table(spark, d, "events").select("event_id", parsing.json_column("props").alias("props"))
+
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
