@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import content_hash, jaccard, word_set
-from folioscope.runtime import cut
+from folioscope.runtime import cut, spread
 
 
 def exact(rows: DataFrame, text: str, order: str) -> DataFrame:
     """Rows with a text of their own: the first by ``order`` of each normalised text; blank texts are dropped."""
-    x = rows.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").withColumn("_hash", content_hash(text))
+    x = spread(rows).where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").withColumn("_hash", content_hash(text))
     first = x.groupBy("_hash").agg(F.min(order).alias(order))
     return x.join(first, ["_hash", order], "left_semi").drop("_hash")
 
@@ -54,7 +54,7 @@ def greedy_survivors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def deduplicate(rows: DataFrame, key: str, text: str, threshold: float = 0.9) -> DataFrame:
     """AGG-04: keys that survive exact and near deduplication in the order of ``key``; blank texts never survive."""
-    first = cut(exact(rows.select(key, text), text, key).select(key, word_set(text).alias("_w")))
+    first = cut(spread(exact(rows.select(key, text), text, key)).select(key, word_set(text).alias("_w")))
     pairs = similar_pairs(first, key, "_w", threshold)
     return greedy_survivors(first.select(F.col(key).alias("k")), pairs).withColumnRenamed("k", key)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import QUERY_PUNCTUATION, tokens
+from folioscope.runtime import cut, spread
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -28,7 +29,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     counts twice; documents without a common token have no row. Postings are those of query tokens only.
     """
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).where(~F.col("term").isin(QUERY_PUNCTUATION)).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    split = docs.select("doc_id", tokens("text").alias("tokens")).withColumn("len", F.size("tokens"))
+    # Written once: both the statistics and the postings read it, and the optimizer can't repeat the splitting per token.
+    split = cut(spread(docs.select("doc_id", "text")).select("doc_id", tokens("text").alias("tokens"))).withColumn("len", F.size("tokens"))
     stats = split.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     tf = split.select("doc_id", "len", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

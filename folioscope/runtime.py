@@ -48,3 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
 def require(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of an input can never clash with working names."""
     return df.select(*[f"`{n}`" for n in names])
+
+
+def spread(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
+    """A small table dealt out over all cores before costly row-wise work.
+
+    Small files and coalesced exchanges end in one task; tables estimated over ``most_bytes`` have tasks enough and aren't shuffled.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism)) if size < most_bytes else df
