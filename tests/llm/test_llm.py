@@ -143,6 +143,22 @@ def test_find_and_repair_noise(spark):
     assert "boundary layer" in text["hyp"] and "STEADY" not in text["head"] and "- 12 -" not in text["num"] and "turbulent" in text["mis"] and "0.86" in text["mis"]
 
 
+def test_furniture_beside_a_table():
+    table = "| plate | wake |\n|---|---|\n| 4.9 | K-71 |\n| 12 | 13 |"
+    assert scannoise.table_lines(f"a\n| 12\n{table}\n| 13\nb".split("\n")) == {2, 3, 4, 5}
+    assert scannoise.table_lines(["| 12", "text | with | bars"]) == set()
+    paper = scannoise.Paper("Steady flow over rough walls", ["B. Nobody"], "Annals of Flow", "10-20", 1999)
+    text = "The wake of the plate was measured at\nthe lowest speed and near the wall of\n\nPage 12\nSTEADY FLOW OVER\n\nthe tunnel with a probe that had been\ncalibrated before and after the runs."
+    lines = scannoise.train_lines([paper], [text, text.replace("\n\nPage 12\nSTEADY FLOW OVER\n", "")])
+    reader = scannoise.Reader({}, {}, lines, scannoise.train_pairs([], {}.get))
+    for whole in (f"{text}\n\n{table}", f"{table}\n\n{text}"):
+        kinds, out = reader.read([whole], [paper], [[3]], repair=True)[0]
+        assert kinds == {"header", "page_number"}
+        assert table in out and "STEADY" not in out and "Page 12" not in out
+        assert "at the lowest" in out and "been calibrated" in out
+    assert reader.read([table], [paper], [[3]], repair=True)[0] == (set(), table)
+
+
 # --- 5 near duplicates
 
 
