@@ -285,6 +285,22 @@ def test_sentences(spark):
         assert t[at:].strip(" \t\r\n") == ""
 
 
+def test_sentence_model_counts_all_texts(spark):
+    rng = random.Random(4)
+    ends = ["wall", "plate", "tunnel"]
+    part = lambda: f"We saw Zqv. Halgor near the {rng.choice(ends)}. It held the {rng.choice(ends)}."
+    long = "\n\n".join(part() for _ in range(400))  # the word is in this text only
+    short = "The plate was moved by Zqv. Halgor on the next day. It held the wall."
+    texts = [long, short, "Το πείραμα έγινε. Η ροή ήταν αργή.", "流动仍是层流。前缘限制了厚度。"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + [texts[3]] * 50)], "doc_id bigint, text string")
+    assert len(long) > 20_000
+    got = {(r.sent_start, r.sent_end) for r in sentences.sentence_spans(docs).where("doc_id = 1").collect()}
+    assert [short[s:e] for s, e in sorted(got)] == ["The plate was moved by Zqv. Halgor on the next day.", "It held the wall."]
+    model = sentences.train(docs.select("text"))
+    n = sum(len(b.tokens) for t in texts for b in sentences.blocks(t))
+    assert model.n1 - model.c1[sentences.EDGE] == n and model.c1["Zqv"] == 401  # each text once
+
+
 # --- whole queries
 
 
