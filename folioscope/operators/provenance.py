@@ -48,7 +48,7 @@ def matched_numbers(values: DataFrame, pool: DataFrame, relative: float = 0.02)
     """
     import math
 
-    width = math.log1p(relative) * 1.01
+    width = -math.log1p(-relative) * 1.01  # the tolerance is a share of the larger number
     bucket = lambda x: F.when(x == 0, 0).otherwise(F.floor(F.log(F.abs(x)) / width).cast("long") * 4 + F.when(x > 0, 1).otherwise(2))
     p = pool.where("number is not null and not isnan(number)").select("key", F.col("number").alias("p"), bucket(F.col("number")).alias("b")).distinct()
     v = values.where("value is not null and not isnan(value)").select("key", "value").distinct()

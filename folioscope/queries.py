@@ -593,6 +593,16 @@ def jon11_tolerance(spark, d):
     return provenance.matched_numbers(v, p)
 
 
+@query("""WITH v AS (SELECT DISTINCT l_suppkey::VARCHAR AS key, l_extendedprice::DOUBLE AS value FROM lineitem), p AS (SELECT DISTINCT l_suppkey::VARCHAR AS key, l_quantity::DOUBLE AS number FROM lineitem), s AS (SELECT unnest([1.0::DOUBLE, 1000.0, 0.001, 100.0, 0.01]) AS s)
+    SELECT v.key, v.value, coalesce(bool_or(abs(v.value * s.s - p.number) <= greatest(1e-9, 0.02::DOUBLE * greatest(abs(v.value * s.s), abs(p.number)))), false) AS matched FROM v LEFT JOIN p ON v.key = p.key, s GROUP BY 1, 2""")
+def jon11_all_lines(spark, d):
+    """JON-11, FUN-16 over every row of lineitem, as values and as pool; jon11_tolerance takes one line number for each."""
+    li = table(spark, d, "lineitem").withColumn("key", F.col("l_suppkey").cast("string"))
+    v = li.select("key", F.col("l_extendedprice").cast("double").alias("value"))
+    p = li.select("key", F.col("l_quantity").cast("double").alias("number"))
+    return provenance.matched_numbers(v, p)
+
+
 @query("""SELECT user_id AS run_id, event_type AS model, count(*) AS calls, sum(event_id) AS tokens_in, sum(length(props)) AS tokens_out FROM events GROUP BY 1, 2""")
 def agg14_ledger(spark, d):
     """AGG-14."""

@@ -105,3 +105,26 @@ def test_adaptive_stops_when_enough(spark):
     q = spark.createDataFrame([(1, 1), (2, 1)], "query_id int, level int")
     got = adaptive.adaptive(q, lambda x: hits.join(x.withColumnRenamed("level", "most"), "query_id").where("level <= most"), lambda x: x, widen=lambda x, n: x.withColumn("level", F.lit(n + 1)))
     assert rows(got.groupBy("query_id").agg(F.max("round"), F.count("*"))) == [(1, 1, 6), (2, 3, 6)]
+
+
+def test_numbers_of_all_lines_match_as_by_brute_force(spark):
+    import random
+
+    from folioscope.operators import provenance
+    from folioscope.queries import QUERIES
+
+    rng = random.Random(8)
+    pool = [(f"a{i}", rng.uniform(1, 60)) for i in range(600)] + [("b", 7.0), ("b", -3.0), ("c", 0.0)]
+    # Numbers just inside and outside the tolerance, whose buckets lie as far apart as they may.
+    values = [(k, x * s * r) for k, x in pool for s in provenance.UNIT_SCALES for r in (0.98001, 0.97999, 1 / 0.98001, 1 / 0.97999, 1.5)]
+    near = lambda v, x: abs(v - x) <= max(1e-9, 0.02 * max(abs(v), abs(x)))
+    of: dict = {}
+    for k, x in pool:
+        of.setdefault(k, []).append(x)
+    want = {(k, v, any(near(v * s, x) for x in of[k] for s in provenance.UNIT_SCALES)) for k, v in values}
+    got = provenance.matched_numbers(spark.createDataFrame(values, "key string, value double"), spark.createDataFrame(pool, "key string, number double"))
+    assert {tuple(r) for r in got.collect()} == want
+
+    d = "/root/testdata/sf0.001"
+    every = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_extendedprice").distinct().count()
+    assert QUERIES["jon11_all_lines"](spark, d).count() == every
