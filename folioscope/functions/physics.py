@@ -61,7 +61,7 @@ def zone_length(x_t: Column, u: Column, nu: Column) -> Column:
 
 
 def zone_verdict(length: Column, x_t: Column, tu: Column) -> Column:
-    """(verdict, ratio, effective length): at least 0.30 x_t, flagged above 1.70 x_t, out of scope below 0.5 percent."""
+    """FUN-26: (verdict, ratio, effective length): at least 0.30 x_t, flagged above 1.70 x_t, out of scope below 0.5 percent."""
     ratio = length / x_t
     verdict = F.when(tu < 0.5, "OUT_OF_SCOPE").when(ratio < 0.30, "BELOW_MAYLE_BAND").when(ratio > 1.70, "ABOVE_AGS").otherwise("FEASIBLE")
     return F.struct(verdict.alias("verdict"), ratio.alias("ratio"), F.when((F.coalesce(tu, F.lit(1.0)) >= 0.5) & (ratio < 0.30), 0.30 * x_t).otherwise(length).alias("effective"))

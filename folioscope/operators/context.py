@@ -1,4 +1,4 @@
-"""Parent expansion and token-budget packing (JON-01, JON-02, CTX-01)."""
+"""Parent expansion and token-budget packing (JON-01, JON-02, CTX-01 without its expansion items)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Ranking, answer and context metrics (MET-01 to MET-10, AGG-07 to AGG-09, SET-04, SET-05)."""
+"""Ranking, answer and context metrics (MET-02, MET-03, MET-05, AGG-07 to AGG-09, SET-04, SET-05)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Document structure graph as node and edge tables (GRF-01 to GRF-09, WIN-03, WIN-04)."""
+"""Document structure graph as node and edge tables (GRF-01 to GRF-04, GRF-06, WIN-03, WIN-04)."""
 
 from __future__ import annotations
 

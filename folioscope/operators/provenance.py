@@ -1,4 +1,4 @@
-"""Numbers, findings and plans held against each other (JON-09 to JON-12, FUN-13 to FUN-17, AGG-14, AGG-16)."""
+"""Numbers, findings and plans held against each other (JON-09, JON-11, JON-12, FUN-13, FUN-15, FUN-16, AGG-14)."""
 
 from __future__ import annotations
 

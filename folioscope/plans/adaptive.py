@@ -1,4 +1,4 @@
-"""Retrieval in rounds until the evidence suffices (RET-12, RET-13, RET-21 to RET-24)."""
+"""Retrieval in rounds until the evidence suffices (RET-12, RET-21)."""
 
 from __future__ import annotations
 

@@ -75,7 +75,7 @@ _RANKED = "SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query
 
 @query(_BM25 + f"SELECT * FROM ({_RANKED}) WHERE rank <= 5")
 def ret05_bm25(spark, d):
-    """RET-03/05, JON-03, AGG-06, WIN-01: top 5 chunks of each query of the query set."""
+    """RET-05, JON-03, AGG-06, WIN-01: top 5 chunks of each query of the query set."""
     return retrieval.bm25(asked(spark, d), leaves(spark, d).select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")), 5)
 
 
@@ -242,7 +242,7 @@ def jon02_small_to_big(spark, d):
 
 @query()
 def ctx01_pack(spark, d):
-    """CTX-01, CTX-02: evidence of each query packed into 512 words."""
+    """CTX-01 without its expansion items, CTX-02: evidence of each query packed into 512 words."""
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "item_id")
     x = table(spark, d, "focal_items").select("query_id", "item_id", "paper_id", "page", "section_path", "content", "score").distinct()
     return context.pack_context(x.withColumn("pos", F.row_number().over(w)), 512)
@@ -276,7 +276,7 @@ def win04_siblings(spark, d):
 @query("""WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'r' || r_regionkey, 'root' FROM region),
     a AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT a.node, e.parent, a.depth + 1 FROM a JOIN e ON a.ancestor = e.child) SELECT * FROM a""")
 def grf06_ancestors(spark, d):
-    """GRF-05, GRF-06: every node's ancestors up to the root."""
+    """GRF-06: every node's ancestors up to the root."""
     edge = lambda t, a, x, b, y: table(spark, d, t).select(F.concat(F.lit(a), F.col(x).cast("string")).alias("child"), F.concat(F.lit(b), F.col(y).cast("string")).alias("parent"))
     e = edge("nation", "n", "n_nationkey", "r", "n_regionkey").unionByName(edge("customer", "c", "c_custkey", "n", "c_nationkey"))
     e = e.unionByName(table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("child"), F.lit("root").alias("parent")))
@@ -296,7 +296,7 @@ def graded(spark, d):
     s AS (SELECT query_id, sum(CASE WHEN rank <= 5 THEN (2 ** grade - 1) / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN best <= 5 THEN (2 ** grade - 1) / log2(best + 1) ELSE 0 END) AS ideal FROM i GROUP BY 1)
     SELECT query_id, CASE WHEN ideal = 0 THEN 1.0::DOUBLE ELSE floor(dcg / ideal * 1e4 + 0.5) / 1e4 END AS ndcg FROM s""")
 def met02_ndcg(spark, d):
-    """MET-01, MET-02."""
+    """MET-02, over grades looked up by label."""
     return evaluation.ndcg(graded(spark, d))
 
 

@@ -1,4 +1,4 @@
-"""Tables on shared storage: upsert by id, registries, manifests, checkpoints (SNK-01 to SNK-13, SRC-08 to SRC-15)."""
+"""Tables on shared storage: upsert by id, registries, manifests, checkpoints (SNK-01 to SNK-03, SNK-06 to SNK-08, SNK-10, SRC-10)."""
 
 from __future__ import annotations
 
