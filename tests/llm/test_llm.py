@@ -159,6 +159,21 @@ def test_furniture_beside_a_table():
     assert reader.read([table], [paper], [[3]], repair=True)[0] == (set(), table)
 
 
+def test_long_headers():
+    journal = "Proceedings of the Streak Colloquium"
+    title = "Steady flow over rough walls with slots of several widths that are closed one after the other at low speed"
+    paper = scannoise.Paper(title, ["B. Nobody"], journal, "10-20", 1999)
+    spaced = "  ".join(" ".join(w) for w in f"{journal}, Vol. 58, No. 6".split())
+    lines = [spaced, title.upper()]
+    assert all(len(x) > 90 for x in lines)
+    text = "The wake of the plate was measured at\nthe lowest speed and near the wall of\nthe tunnel with a probe that had been\ncalibrated before and after the runs."
+    reader = scannoise.Reader({}, {}, scannoise.train_lines([paper], [text]), scannoise.train_pairs([], {}.get))
+    for line in lines:
+        kinds, out = reader.read([f"{line}\n{text}"], [paper], [[3]], repair=True)[0]
+        assert kinds == {"header"} and line not in out and "the runs." in out
+    assert scannoise.line_features("a" * 200, None, None, 90, paper, []) is None
+
+
 # --- 5 near duplicates
 
 
