@@ -17,6 +17,7 @@ import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -30,13 +31,20 @@ from folioscope.runtime import require
 
 # Letters of other scripts that look like a Latin letter.
 CYRILLIC_LIKE = dict(zip("аеорсухіѕјһԁԛԝАВЕКМНОРСТУХІЅЈ", "aeopcyxisjhdqwABEKMHOPCTYXISJ"))
-GREEK_LIKE = dict(zip("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧνιρυκ", "oABEZHIKMNOPTYXviput"[:19] + "k"))
+GREEK_LIKE = dict(zip("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧνιρυκ", "oABEZHIKMNOPTYXvipuk"))
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯﻿￹￺￻"
 BLANK = "               　"
 
 LATIN, CYRILLIC, GREEK = "L", "C", "G"
-_WORD = regex.compile(r"[\p{L}\p{M}\p{Cf}]+")
+#: Stretches whose plain form a worker remembers; beyond it they are looked up again.
+MEMO = 1 << 17
+_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{M}]")
+_OTHER_ARROW = r"[\p{Cyrillic}\p{Greek}\p{M}]"
+#: A run of characters outside ASCII with the one before it: all that a pattern of the Latin table can touch.
+_RUN = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")
+_FOREIGN = re.compile(r"[^\x00-\x7f]+")
+_MARKED = regex.compile(r"\P{M}\p{M}{1,2}")
 
 
 class Classes:
@@ -108,10 +116,16 @@ def likenesses(plain_greek: str = "") -> Classes:
 _SHARED = set(CYRILLIC_LIKE) | set(GREEK_LIKE) | set(CYRILLIC_LIKE.values()) | set(GREEK_LIKE.values())
 
 
-def _scripts(text: str) -> tuple[int, int, int]:
-    """Letters that can only be Latin, Cyrillic, Greek."""
+@lru_cache(maxsize=1 << 16)
+def _in_word(ch: str) -> bool:
+    return unicodedata.category(ch)[0] in "LM" or unicodedata.category(ch) == "Cf"
+
+
+@lru_cache(maxsize=1 << 16)
+def _script(word: str) -> str:
+    """The script of a word: one of the three, "" if it is to be read as Latin, "?" for letters of shared look only."""
     latin = cyrillic = greek = 0
-    for ch in text:
+    for ch in word:
         if ch in _SHARED:
             continue
         n = ord(ch)
@@ -128,30 +142,45 @@ def _scripts(text: str) -> tuple[int, int, int]:
             m = ord(base)
             latin += m < 0x250
             greek += 0x370 <= m < 0x400
-    return latin, cyrillic, greek
+    if not _OTHER.search(word):
+        return ""
+    if cyrillic > max(latin, greek):
+        return CYRILLIC
+    if greek > max(latin, cyrillic):
+        return GREEK
+    return "?" if not latin and not greek and any("Ѐ" <= ch < "԰" for ch in word) else ""
 
 
 def words_by_script(text: str) -> list[tuple[int, int, str]]:
     """(start, end, script) of the words that aren't to be read as Latin ones."""
-    if not _OTHER.search(text):
-        return []
-    out, russian = [], None
-    for m in _WORD.finditer(text):
-        w = m.group()
-        if w.isascii() or not _OTHER.search(w):
+    out, russian, at, n = [], None, 0, len(text)
+    for m in _FOREIGN.finditer(text):
+        a, e = m.span()
+        if e <= at:
             continue
-        latin, cyrillic, greek = _scripts(w)
-        if cyrillic > max(latin, greek):
-            out.append((m.start(), m.end(), CYRILLIC))
-        elif greek > max(latin, cyrillic):
-            out.append((m.start(), m.end(), GREEK))
-        elif not latin and not greek and any("Ѐ" <= ch < "԰" for ch in w):
-            # Only letters of shared look: Cyrillic in a text with Cyrillic words, but not as part of a code with digits.
-            if russian is None:
-                russian = any("Ѐ" <= ch < "԰" and ch not in _SHARED for ch in text)
-            code = text[m.start() - 1 : m.start()].isdigit() or text[m.end() : m.end() + 1].isdigit() or (len(w) == 1 and w.isupper() and regex.match(r"[-‐‑]\d", text[m.end() : m.end() + 2]))
-            if russian and not code:
-                out.append((m.start(), m.end(), CYRILLIC))
+        a = max(a, at)
+        while a < e:  # words begin or end within the run
+            while a < e and not _in_word(text[a]):
+                a += 1
+            if a == e:
+                break
+            s = a
+            while s > at and _in_word(text[s - 1]):
+                s -= 1
+            t = a + 1
+            while t < n and _in_word(text[t]):
+                t += 1
+            w = text[s:t]
+            script = _script(w)
+            if script == "?":
+                # Cyrillic in a text with Cyrillic words, but not as part of a code with digits.
+                if russian is None:
+                    russian = any("Ѐ" <= ch < "԰" and ch not in _SHARED for x in _FOREIGN.findall(text) for ch in x)
+                code = text[s - 1 : s].isdigit() or text[t : t + 1].isdigit() or (len(w) == 1 and w.isupper() and regex.match(r"[-‐‑]\d", text[t : t + 2]))
+                script = CYRILLIC if russian and not code else ""
+            if script:
+                out.append((s, t, script))
+            at = a = t
     return out
 
 
@@ -160,24 +189,28 @@ def count_members(fields: DataFrame, text_col: str, known: Classes) -> dict[str,
     sequences = sorted({x for x in known.up if len(x) > 1 and not regex.search(r"\p{M}", x)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, at = np.zeros(0x110000, dtype=np.int64), {LATIN: Counter(), CYRILLIC: Counter(), GREEK: Counter()}
+        at = {LATIN: Counter(), CYRILLIC: Counter(), GREEK: Counter()}
+        ascii_total = np.zeros(128, dtype=np.int64)
         for b in batches:
             col = b.column(0).drop_null()
             if not len(col):
                 continue
             joined = "\n".join(col.to_pylist())
-            total += np.bincount(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), minlength=0x110000)
-            total[10] -= len(col) - 1
+            raw = np.frombuffer(joined.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+            ascii_total += np.bincount(raw, minlength=256)[:128]
+            ascii_total[10] -= len(col) - 1
+            for run, n in Counter(_FOREIGN.findall(joined)).items():  # few distinct runs stand for all of the text
+                for ch in run:
+                    at[LATIN][ch] += n
             for s in sequences:
                 at[LATIN][s] += joined.count(s)
-            for text in col.filter(pc.match_substring_regex(col, r"[\p{Cyrillic}\p{Greek}\p{M}]")).to_pylist():
+            for text in col.filter(pc.match_substring_regex(col, _OTHER_ARROW)).to_pylist():
                 for a, e, script in words_by_script(text):
                     at[script].update(text[a:e])
                     at[LATIN].subtract(text[a:e])
-                for m in regex.finditer(r"\P{M}\p{M}{1,2}", text):
-                    at[LATIN][m.group()] += 1
-        for n in np.nonzero(total)[0]:
-            at[LATIN][chr(n)] += int(total[n])
+                at[LATIN].update(_MARKED.findall(text))
+        for n in np.nonzero(ascii_total)[0]:
+            at[LATIN][chr(n)] += int(ascii_total[n])
         rows = [(s, k, n) for s, c in at.items() for k, n in c.items() if n]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["script", "member", "n"])
@@ -205,7 +238,16 @@ class Rewriter:
                     best = max(own, key=lambda x: (unicodedata.normalize("NFKC", x) == x, counts[script][x], x.isascii() and x.isprintable(), len(x) == 1, [-ord(ch) for ch in x]))
                 table |= {x: best for x in own if x != best and not (len(x) > 1 and regex.search(r"\p{M}", x) is None)}
             self.tables[script] = table
+        self.runs = all(_RUN.fullmatch(x) for x in self.tables[LATIN])
         self.trees: dict = {}
+        self.done: dict = {LATIN: {}, CYRILLIC: {}, GREEK: {}}
+
+    def __getstate__(self):
+        return self.tables, self.runs
+
+    def __setstate__(self, state):
+        self.tables, self.runs = state
+        self.trees, self.done = {}, {LATIN: {}, CYRILLIC: {}, GREEK: {}}
 
     def suspects(self) -> str:
         """A pattern (RE2) for texts that may have to be rewritten."""
@@ -232,22 +274,41 @@ class Rewriter:
             at = end + 1
         return "".join(out) + text[at:] if out else text
 
+    def _known(self, text: str, script: str) -> str:
+        """``_rewrite`` of a short stretch, remembered: a collection has few different ones."""
+        done = self.done[script]
+        new = done.get(text)
+        if new is None:
+            if len(done) > MEMO:
+                done.clear()
+            new = done[text] = self._rewrite(text, script)
+        return new
+
+    def _latin(self, text: str) -> str:
+        return _RUN.sub(lambda m: self._known(m.group(), LATIN), text) if self.runs else self._rewrite(text, LATIN)
+
     def plain(self, text: str) -> str:
-        """The plain form; a text that is its own plain form comes back as it is."""
-        for _ in range(8):  # an accent may follow its letter only after something between them is gone
+        """The plain form; a text that is its own plain form comes back as it is.
+
+        Rewriting goes on until nothing changes: an accent may follow its letter only after something between them is gone.
+        A text that would come back to an earlier form stays as it is then.
+        """
+        seen = {text}
+        while not text.isascii():
             out, at = [], 0
             for a, e, script in words_by_script(text):
-                out += [self._rewrite(text[at:a], LATIN), self._rewrite(text[a:e], script)]
+                out += [self._latin(text[at:a]), self._known(text[a:e], script)]
                 at = e
-            new = "".join(out) + self._rewrite(text[at:], LATIN)
-            if new == text:
-                return new
+            new = "".join(out) + self._latin(text[at:])
+            if new in seen:
+                break
+            seen.add(new)
             text = new
         return text
 
 
-def plain_forms(fields: DataFrame, symbols: DataFrame | None = None, changed_only: bool = False) -> DataFrame:
-    """(source_table, record_id, field, text, plain, changed) for ``fields`` (source_table, record_id, field, text).
+def plain_forms(fields: DataFrame, symbols: DataFrame | None = None, changed_only: bool = False, texts: bool = True) -> DataFrame:
+    """(source_table, record_id, field[, text, plain], changed) for ``fields`` (source_table, record_id, field, text).
 
     ``symbols`` (text) are texts whose Greek letters are symbols of their own. Null texts have plain null, unchanged;
     empty texts stay empty; a row delivered twice comes out twice.
@@ -260,23 +321,26 @@ def plain_forms(fields: DataFrame, symbols: DataFrame | None = None, changed_onl
     rewriter = Rewriter(known, count_members(fields, "text", known))
     suspects = rewriter.suspects()
 
+    sc = fields.sparkSession.sparkContext
+    own = sc.broadcast(rewriter)  # three tables over the code points of the standard: under 1 MB
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rewriter = own.value
         for b in batches:
             if not b.num_rows:
                 continue
-            text = b.column(3)
-            mask = pc.fill_null(pc.match_substring_regex(text, suspects), False)
+            mask = pc.fill_null(pc.match_substring_regex(b.column(3), suspects), False)
             if changed_only:
                 b = b.filter(mask)
-                text = b.column(3)
-                new = [rewriter.plain(t) for t in text.to_pylist()]
-            else:
-                new = [rewriter.plain(t) if m else t for t, m in zip(text.to_pylist(), mask.to_pylist())]
-            new = pa.array(new, pa.string())
+                mask = pa.array([True] * b.num_rows)
+            text = b.column(3)
+            new = pa.array([rewriter.plain(t) if m else t for t, m in zip(text.to_pylist(), mask.to_pylist())], pa.string())
             diff = pc.fill_null(pc.not_equal(new, text), False)
-            yield pa.RecordBatch.from_arrays([*b.columns, new, diff], names=[*b.schema.names, "plain", "changed"])
+            b = pa.RecordBatch.from_arrays([*b.columns, new, diff], names=[*b.schema.names, "plain", "changed"])
+            yield b if texts else b.select(["source_table", "record_id", "field", "changed"])
 
-    out = require(fields, "source_table", "record_id", "field", "text").mapInArrow(run, "source_table string, record_id string, field string, text string, plain string, changed boolean")
+    schema = "source_table string, record_id string, field string, text string, plain string, changed boolean"
+    out = require(fields, "source_table", "record_id", "field", "text").mapInArrow(run, schema if texts else schema.replace(" text string, plain string,", ""))
     return out.where("changed") if changed_only else out
 
 

@@ -13,7 +13,7 @@ from folioscope.runtime import table
 
 def _plain(spark: SparkSession, d: str, changed_only: bool) -> DataFrame:
     fields = lookalike.fields_of(table(spark, d, "alias_sources"), table(spark, d, "structured_chunks"))
-    return lookalike.plain_forms(fields, lookalike.glossary_texts(table(spark, d, "glossary")), changed_only)
+    return lookalike.plain_forms(fields, lookalike.glossary_texts(table(spark, d, "glossary")), changed_only, texts=not changed_only)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
