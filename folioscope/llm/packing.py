@@ -4,9 +4,10 @@ Method: best-fit decreasing. A segment tree over the remaining capacities 0..cap
 each remainder; the tightest open bin that still takes an item is found by one descent, in time logarithmic in the
 capacity. Items larger than the capacity are cut into full pieces, whose rest is packed like an item.
 
-A query may hold a third of all items, so its items are first dealt by identifier into blocks of at most about
-``BLOCK`` items; blocks are packed apart, and then the contexts that are not nearly full are opened again and packed
-together, two blocks at a time, until one block is left.
+A query may hold a third of all items, so items never meet in one task. Best-fit decreasing only asks how many items have
+each size, and sizes are at most the capacity: the counts per size are packed, all items of a size that go into bins of
+one remainder at a time. Items are then numbered within (query, size), by counts of hash buckets of about ``RUN`` items, and
+find the bin of their number by an equi-join on (query, size, number). The result is that of packing item by item.
 """
 
 from __future__ import annotations
@@ -14,16 +15,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.runtime import cut, require
 
-BLOCK = 20_000
-#: Contexts filled at least so far are not opened again when blocks are merged.
-FULL = 0.98
-
-PACKED = "query_id bigint, item_id string, piece int, n_pieces int, words int, capacity int, bin string, block int"
+#: Items numbered in one task, and items whose bins are told by one row.
+RUN, STEP = 100_000, 10_000
 
 
 def words(text: str | Column) -> Column:
@@ -32,24 +30,24 @@ def words(text: str | Column) -> Column:
 
 
 class RemainderTree:
-    """Segment tree over remaining capacities; each leaf holds the open bins with that remainder."""
+    """Segment tree over remaining capacities; each leaf holds the open bins with that remainder, as (first, how many)."""
 
     def __init__(self, capacity: int):
         self.size = 1
         while self.size <= capacity:
             self.size *= 2
         self.count = [0] * (2 * self.size)
-        self.bins: dict[int, list[int]] = {}
+        self.bins: dict[int, list[tuple[int, int]]] = {}
 
-    def add(self, remainder: int, number: int) -> None:
-        self.bins.setdefault(remainder, []).append(number)
+    def add(self, remainder: int, bins: tuple[int, int]) -> None:
+        self.bins.setdefault(remainder, []).append(bins)
         i = remainder + self.size
         while i:
             self.count[i] += 1
             i //= 2
 
-    def take(self, least: int) -> tuple[int, int] | None:
-        """Remove and return (remainder, bin) with the smallest remainder >= least."""
+    def take(self, least: int) -> tuple[int, tuple[int, int]] | None:
+        """Remove and return (remainder, bins) with the smallest remainder >= least."""
         i, count = least + self.size, self.count
         if not count[i]:
             while i > 1 and (i & 1 or not count[i + 1]):  # up until a right sibling holds something
@@ -60,56 +58,69 @@ class RemainderTree:
             while i < self.size:
                 i = 2 * i if count[2 * i] else 2 * i + 1
         remainder = i - self.size
-        number = self.bins[remainder].pop()
+        bins = self.bins[remainder].pop()
         while i:
             count[i] -= 1
             i //= 2
-        return remainder, number
+        return remainder, bins
+
+
+def pack_classes(classes: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Best-fit decreasing of ``classes`` (size: how many items; sizes 1..capacity): (size, first, n, bin, each) per run of bins.
+
+    Items first .. first + n - 1 of that size go into the bins from ``bin`` on, ``each`` to a bin. As a bin that took an
+    item is the tightest one for the next item of the same size, a bin is filled as far as it goes before the next one.
+    """
+    tree, out, opened = RemainderTree(capacity), [], 0
+    for size in sorted(classes, reverse=True):
+        first, left = 0, classes[size]
+        while left:
+            got = tree.take(size)
+            if got is None:
+                each = capacity // size
+                got = (capacity, (opened, -(-left // each)))
+                opened += got[1][1]
+            remainder, (start, k) = got
+            each = remainder // size
+            full = min(k, left // each)  # bins that take all they can
+            n = full * each
+            if full and remainder > n // full * size:
+                tree.add(remainder - each * size, (start, full))
+            if full < k and left > n:  # one more bin takes the rest
+                tree.add(remainder - (left - n) * size, (start + full, 1))
+                n, full = left, full + 1
+            if full < k:
+                tree.add(remainder, (start + full, k - full))
+            out.append((size, first, n, start, each))
+            first, left = first + n, left - n
+    return out
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """Bin number of each item; sizes must be 1..capacity. Items of equal size keep their order."""
-    tree, out, opened = RemainderTree(capacity), [0] * len(sizes), 0
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        got = tree.take(sizes[i])
-        if got is None:
-            got, opened = (capacity, opened), opened + 1
-        out[i] = got[1]
-        if got[0] > sizes[i]:
-            tree.add(got[0] - sizes[i], got[1])
+    """Bin number of each item; sizes must be 1..capacity."""
+    of: dict[int, list[int]] = {}
+    for i, s in enumerate(sizes):
+        of.setdefault(s, []).append(i)
+    out = [0] * len(sizes)
+    for size, first, n, start, each in pack_classes({s: len(x) for s, x in of.items()}, capacity):
+        for j in range(n):
+            out[of[size][first + j]] = start + j // each
     return out
 
 
+_RUNS = pa.schema([("query_id", pa.int64()), ("words", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("bin", pa.int64()), ("each", pa.int64())])
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by (query_id, block); each run of equal keys is one block."""
-    key, rows = None, []
-
-    def flush() -> pa.RecordBatch:
-        cap = rows[0][5]
-        bins = best_fit_decreasing([r[4] for r in rows], cap)
-        q, block = key
-        cols = list(zip(*rows))
-        arrays = [cols[0], cols[1], cols[2], cols[3], cols[4], cols[5], [f"{block}-{b}" for b in bins], cols[6]]
-        return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()))], names=["query_id", "item_id", "piece", "n_pieces", "words", "capacity", "bin", "block"])
-
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if (row[0], row[6]) != key:
-                if rows:
-                    yield flush()
-                key, rows = (row[0], row[6]), []
-            rows.append(row)
-    if rows:
-        yield flush()
-
-
-def _pack_blocks(pieces: DataFrame) -> DataFrame:
-    return (
-        pieces.select("query_id", "item_id", "piece", "n_pieces", "words", "capacity", "block")
-        .repartition("query_id", "block")
-        .sortWithinPartitions("query_id", "block", F.desc("words"), "item_id", "piece")
-        .mapInArrow(_pack, PACKED)
-    )
+    """Rows (query_id, capacity, classes) to runs of bins, of at most about STEP items each."""
+    for b in batches:
+        for query, capacity, classes in zip(*(c.to_pylist() for c in b.columns)):
+            rows = []
+            for size, first, n, start, each in pack_classes({c["words"]: c["n"] for c in classes}, capacity):
+                step = max(1, STEP // each) * each
+                rows += [(query, size, first + k, min(step, n - k), start + k // each, each) for k in range(0, n, step)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _RUNS)], schema=_RUNS)
 
 
 def pieces_of(items: DataFrame, queries: DataFrame, readers: DataFrame) -> DataFrame:
@@ -132,25 +143,21 @@ def pack_items(items: DataFrame, queries: DataFrame, readers: DataFrame) -> Data
     empty, blank) take no space and have no row; items of a query without reader or capacity have none either.
     Only an item with more words than the capacity is cut, into pieces of whole words: all of the capacity but the last.
     """
-    pieces = pieces_of(items, queries, readers)
-    n_blocks = F.ceil(F.count("*").cast("double") / BLOCK)
-    hot = pieces.groupBy("query_id").agg(n_blocks.cast("int").alias("blocks"))
-    with_block = pieces.join(hot, "query_id").withColumn("block", F.pmod(F.hash("item_id", "piece"), F.col("blocks")).cast("int"))
-    packed = cut(_pack_blocks(with_block).withColumn("bin", F.concat_ws("-", F.lit("0"), "bin")))
-    done, level = [], 0
-    most = packed.agg(F.max("block")).first()[0] or 0
-    while most > 0:  # merge the contexts that are not nearly full, two blocks at a time
-        level += 1
-        fill = packed.groupBy("query_id", "block", "bin").agg(F.sum("words").alias("filled"), F.max("capacity").alias("cap"))
-        several = packed.groupBy("query_id").agg((F.max("block") > 0).alias("several"))
-        loose = fill.join(several, "query_id").where(F.col("several") & (F.col("filled") < FULL * F.col("cap"))).select("query_id", "block", "bin")
-        done.append(packed.join(loose, ["query_id", "block", "bin"], "left_anti"))
-        again = packed.join(loose, ["query_id", "block", "bin"], "left_semi").withColumn("block", F.floor(F.col("block") / 2).cast("int"))
-        packed = cut(_pack_blocks(again).withColumn("bin", F.concat_ws("-", F.lit(str(level)), "bin")))
-        most = packed.agg(F.max("block")).first()[0] or 0
-    for d in done:
-        packed = packed.unionByName(d)
-    return packed.select("query_id", "item_id", "piece", "n_pieces", "words", "capacity", F.concat_ws("/", F.col("query_id").cast("string"), "bin").alias("context"))
+    pieces = cut(pieces_of(items, queries, readers))
+    buckets = max(1, -(-pieces.count() // RUN))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("item_id", "piece"), F.lit(buckets)).cast("int"))
+    counts = pieces.groupBy("query_id", "words", "bucket").agg(F.count("*").alias("n"), F.max("capacity").alias("capacity"))
+    before = Window.partitionBy("query_id", "words").orderBy("bucket")  # at most as many rows as buckets
+    base = counts.select("query_id", "words", "bucket", (F.sum("n").over(before) - F.col("n")).alias("base"))
+    own = Window.partitionBy("query_id", "words", "bucket").orderBy("item_id", "piece")
+    numbered = pieces.withColumn("number", F.row_number().over(own) - 1).join(base, ["query_id", "words", "bucket"]).withColumn("number", F.col("number") + F.col("base"))
+    sizes = counts.groupBy("query_id", "words").agg(F.sum("n").alias("n"), F.max("capacity").alias("capacity"))
+    classes = sizes.groupBy("query_id").agg(F.max("capacity").alias("capacity"), F.collect_list(F.struct("words", "n")).alias("classes"))  # at most capacity entries
+    runs = classes.mapInArrow(_pack, "query_id bigint, words int, first bigint, n bigint, bin bigint, each bigint").repartition("query_id", "words", "first")
+    places = runs.select("query_id", "words", "first", "bin", "each", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k"))
+    places = places.select("query_id", "words", (F.col("first") + F.col("k")).alias("number"), (F.col("bin") + F.floor(F.col("k") / F.col("each"))).alias("bin"))
+    packed = numbered.join(places, ["query_id", "words", "number"])
+    return packed.select("query_id", "item_id", "piece", "n_pieces", "words", "capacity", F.concat_ws("/", F.col("query_id").cast("string"), F.col("bin").cast("string")).alias("context"))
 
 
 def contexts(packed: DataFrame) -> DataFrame:

@@ -11,13 +11,13 @@ from folioscope.llm import capping, encoding, lookalike, mixing, neardup, packin
 from folioscope.runtime import table
 
 
-def _plain(spark: SparkSession, d: str, changed_only: bool) -> DataFrame:
+def _plain(spark: SparkSession, d: str, changed_only: bool, texts: bool = True) -> DataFrame:
     fields = lookalike.fields_of(table(spark, d, "alias_sources"), table(spark, d, "structured_chunks"))
-    return lookalike.plain_forms(fields, lookalike.glossary_texts(table(spark, d, "glossary")), changed_only, texts=not changed_only)
+    return lookalike.plain_forms(fields, lookalike.glossary_texts(table(spark, d, "glossary")), changed_only, texts)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _plain(spark, d, True).select("source_table", "record_id", "field").distinct()
+    return _plain(spark, d, True, False).select("source_table", "record_id", "field").distinct()
 
 
 def p1_plain(spark: SparkSession, d: str) -> DataFrame:
@@ -29,13 +29,21 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).where("n_pieces > 1").select("query_id", "item_id").distinct()
+    """Items whose pieces lie in more than one context."""
+    return _packed(spark, d).groupBy("query_id", "item_id").agg((F.min("context") < F.max("context")).alias("cut")).where("cut").select("query_id", "item_id")
 
 
 def p2_contexts(spark: SparkSession, d: str) -> DataFrame:
     return packing.contexts(_packed(spark, d))
 
 
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per query: pieces and words packed, and whether every context holds and their number is within best-fit decreasing's bound."""
+    c = packing.contexts(_packed(spark, d)).groupBy("query_id").agg(F.sum("n_items").cast("bigint").alias("n_pieces"), F.sum("token_count").cast("bigint").alias("n_words"), F.max(F.col("token_count") > F.col("capacity")).alias("over"), F.count("*").alias("n"), F.max("capacity").alias("capacity"))
+    least = F.ceil(F.col("n_words") / F.col("capacity"))
+    return c.select("query_id", "n_pieces", "n_words", "over", (F.col("n") >= least).alias("at_least"), (F.col("n") <= 1.7 * least + 1).alias("at_most"))
+
+
 def _capped(spark: SparkSession, d: str) -> DataFrame:
     return capping.cap_contributors(table(spark, d, "retrieved_chunks"), table(spark, d, "retrieval_queries"))
 
@@ -90,7 +98,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p1_plain, p2_found, p2_contexts, p3_found, p3_kept, p4_found, p4_repaired, p5_found, p5_groups, p6_found, p6_pieces, p7_ids, p8_selection, p8_shares, p9_found]
+    names = [p1_found, p1_plain, p2_found, p2_contexts, p2_checks, p3_found, p3_kept, p4_found, p4_repaired, p5_found, p5_groups, p6_found, p6_pieces, p7_ids, p8_selection, p8_shares, p9_found]
     return {f.__name__: f for f in names}
 
 
@@ -114,6 +122,11 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": r"""
             SELECT DISTINCT f.query_id, f.item_id FROM focal_items f JOIN retrieval_queries q ON f.query_id = q.query_id JOIN readers r ON r.reader = q.reader
             WHERE len(regexp_extract_all(f.content, '[^ \t\r\n]+')) > r.capacity""",
+        "p2_checks": r"""
+            WITH i AS (
+              SELECT f.query_id, f.item_id, max(len(regexp_extract_all(f.content, '[^ \t\r\n]+'))) AS n, max(r.capacity) AS capacity
+              FROM focal_items f JOIN retrieval_queries q ON f.query_id = q.query_id JOIN readers r ON r.reader = q.reader WHERE r.capacity > 0 GROUP BY 1, 2)
+            SELECT query_id, sum(ceil(n / capacity))::BIGINT AS n_pieces, sum(n)::BIGINT AS n_words, false AS over, true AS at_least, true AS at_most FROM i WHERE n > 0 GROUP BY 1""",
         "p3_found": _CAPPED + "SELECT query_id, chunk_id FROM k WHERE paper IS NOT NULL AND cap IS NOT NULL AND pos > cap",
         "p3_kept": _CAPPED + "SELECT query_id, count(*) AS n_kept FROM k WHERE paper IS NULL OR cap IS NULL OR pos <= cap GROUP BY 1",
         "p6_found": r"""

@@ -75,7 +75,8 @@ def packing_inputs(spark, items):
 
 def test_packing(spark, monkeypatch):
     items = [(1, f"i{k}", "w " * (k % 7 + 1), "x") for k in range(200)] + [(1, "long", "a\tb\n" * 13, "x")] * 2 + [(1, "none", None, "x"), (1, "blank", " \n", "x"), (2, "a", "w", "x"), (3, "b", "w", "x")]
-    monkeypatch.setattr(packing, "BLOCK", 40)
+    monkeypatch.setattr(packing, "RUN", 7)
+    monkeypatch.setattr(packing, "STEP", 5)
     got = packing.pack_items(*packing_inputs(spark, items)).collect()
     load, pieces = Counter(), Counter()
     for r in got:
@@ -90,8 +91,9 @@ def test_packing(spark, monkeypatch):
 # --- 3 capping
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_capping_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, states", [(1, 200_000), (2, 0)])
+def test_capping_equals_brute_force(spark, monkeypatch, seed, states):
+    monkeypatch.setattr(capping, "STATES", states)  # 0: bounds are never broadcast
     rng = random.Random(seed)
     data = []
     for _ in range(700):
