@@ -313,9 +313,39 @@ def test_sentence_model_counts_all_texts(spark):
     assert len(long) > 20_000
     got = {(r.sent_start, r.sent_end) for r in sentences.sentence_spans(docs).where("doc_id = 1").collect()}
     assert [short[s:e] for s, e in sorted(got)] == ["The plate was moved by Zqv. Halgor on the next day.", "It held the wall."]
-    model = sentences.train(docs.select("text"))
-    n = sum(len(b.tokens) for t in texts for b in sentences.blocks(t))
-    assert model.n1 - model.c1[sentences.EDGE] == n and model.c1["Zqv"] == 401  # each text once
+    model = sentences.train(sentences.scanned(docs.select(F.col("doc_id").alias("id"), "text")))
+    assert model.n3["Zqv", "."] == 401 and model.n3["流", "。"] + model.n3["层", "流"] <= 2  # each text once
+    n = sum(len(sentences.words_of(t, 0, len(t))) for t in texts)
+    assert model.plain.n1 - model.plain.c1[sentences.EDGE] == n
+
+
+def test_stretches_hold_the_tokens_around_places():
+    """Tokens found from a place on are those of tokenising the whole text."""
+    text = "Dr. K-71 saw p. 5. Then “it held!” (cf. Fig. 3.5) and " + "verylongword" * 9 + ". No; ἔργον; 流れた。次は"
+    every = [sentences._token(m) for m in sentences._TOKEN.finditer(text)]
+    starts = {t[2]: i for i, t in enumerate(every)}
+    for b in sentences.blocks(text):
+        for p in b.places:
+            i = starts[p.at]
+            assert [p.u, p.v, *p.after] == every[i - 2 : i + 3] or i < 2
+    assert sentences._WORDS.findall(text) == [m.group() for m in sentences._TOKEN.finditer(text) if m.lastgroup not in "tp"]
+
+
+def test_unpunctuated_text_is_split(spark):
+    rng = random.Random(5)
+    nouns, verbs = "tunnel plate wall probe layer".split(), "held moved grew".split()
+    one = lambda: f"The {rng.choice(nouns)} {rng.choice(verbs)} near the {rng.choice(nouns)}"
+    texts = [" ".join(one() + "." for _ in range(5)) for _ in range(200)] + ["The probe held near the wall The plate grew near the tunnel The wall moved near the probe"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted((r.sent_start, r.sent_end) for r in sentences.sentence_spans(docs).where("doc_id = 200").collect())
+    assert [texts[200][s:e] for s, e in got] == ["The probe held near the wall", "The plate grew near the tunnel", "The wall moved near the probe"]
+
+
+def test_thai_blanks_are_decided_by_the_model(spark):
+    docs = spark.createDataFrame([(i, f"การไหลแบบปั่นป่วน ผนังเรียบ {i} มม ท่อยาวมาก และ Tunnel นี้") for i in range(40)], "doc_id bigint, text string")
+    t = {r.doc_id: r.text for r in docs.collect()}
+    got = sorted((r.sent_start, r.sent_end) for r in sentences.sentence_spans(docs).where("doc_id = 7").collect())
+    assert [t[7][s:e] for s, e in got] == ["การไหลแบบปั่นป่วน", "ผนังเรียบ 7 มม", "ท่อยาวมาก", "และ Tunnel นี้"]
 
 
 # --- whole queries
