@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,7 @@ def session(app: str = "folioscope", cores: str = "8", partitions: int = 8) -> S
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FOLIO_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -33,15 +36,27 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` and drop its lineage in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is used.
+    Where it is unset, a session on one machine (as in tests) gets a temporary folder that is removed at its end; on a cluster
+    that is an error, as no machine's own folder can be read by the others.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="folio-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="folio-ckpt-"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` and drop its lineage in the shared folder (``shared_folder``)."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -50,10 +65,10 @@ def require(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[f"`{n}`" for n in names])
 
 
-def spread(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
-    """A small table dealt out over all cores before costly row-wise work.
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan dealt out over all cores before costly row-wise work, if it has fewer partitions than there are cores.
 
-    Small files and coalesced exchanges end in one task; tables estimated over ``most_bytes`` have tasks enough and aren't shuffled.
+    A small file, or one of few row groups, is read by few tasks; a large table has tasks enough and isn't shuffled. The rows are the same.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism)) if size < most_bytes else df
+    cores = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
