@@ -6,9 +6,11 @@ every chunk up to ``ERRORS`` symbols may differ: each way to leave one symbol ou
 all pairs whose signatures differ in at most ``CHUNKS * (ERRORS + 1) - 1`` symbols share a key; a pair at similarity
 0.75 is missed with probability 0.004, one at 0.8 with 0.0006. Pairs that share a key are then checked exactly.
 
-Texts with the same set of words are collapsed before, so exact copies cost one signature; buckets of more than
+Texts with the same set of words are collapsed before, by a 128-bit hash of the words, and one of them stands for all, so
+exact copies cost one signature and no list of copies is ever put together; buckets of more than
 ``BUCKET`` texts leave their task as blocks of that size, whose pairs are spread over all tasks. Words are kept as
 32-bit hashes and keys as 40-bit numbers, which halves what is shuffled; a clash of two keys only adds a pair to check.
+The number of words of a text is exact; two different words of two texts whose hashes clash count as common.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from folioscope.runtime import cut, require
 CHUNKS, WIDTH, ERRORS, BITS = 12, 8, 1, 24
 MIN_WORDS, SIMILARITY = 30, 0.75
 BUCKET = 64
+#: Most sets whose numbers are broadcast (under 100 bytes each); salts of the join beyond it.
+SETS, SALTS = 200_000, 32
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _rng = np.random.default_rng(20240501)
@@ -41,9 +45,9 @@ def _hash(word: str) -> int:
     return xxhash.xxh32_intdigest(word)
 
 
-def word_set(text: str) -> list[int]:
-    """Sorted hashes of the distinct words (runs of letters and digits, in lower case)."""
-    return sorted({_hash(w) for w in _WORD.findall(text.lower())})
+def word_set(text: str) -> list[str]:
+    """The distinct words (runs of letters and digits, in lower case), sorted."""
+    return sorted(set(_WORD.findall(text.lower())))
 
 
 def signatures(sets: list[list[int]]) -> np.ndarray:
@@ -70,24 +74,24 @@ def index_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def word_sets(items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, own, words): the word set of every text of ``items`` (id, text) with at least ``min_words`` words.
+    """(id, hi, lo, words): the word set of every text of ``items`` (id, text) with at least ``min_words`` words.
 
-    own is a 64-bit hash of the set.
+    hi and lo are a 128-bit hash of the words; words are their 32-bit hashes, as many as there are words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sids, sets = [], [], []
+            ids, keys, sets = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = word_set(t)
                 if len(s) >= min_words:
-                    a = np.array(s, dtype=np.uint32)
                     ids.append(i)
-                    sids.append(xxhash.xxh3_64_intdigest(a.tobytes()))
-                    sets.append(a.view(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(np.array(sids, dtype=np.uint64).view(np.int64), pa.int64()), pa.array(sets, pa.list_(pa.int32()))], names=["id", "own", "words"])
+                    keys.append(xxhash.xxh3_128_intdigest("\0".join(s)))
+                    sets.append(np.sort(np.fromiter(map(_hash, s), np.uint32, len(s))).view(np.int32))
+            half = lambda shift: pa.array(np.array([(k >> shift) & (2**64 - 1) for k in keys], dtype=np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), half(64), half(0), pa.array(sets, pa.list_(pa.int32()))], names=["id", "hi", "lo", "words"])
 
-    return items.select("id", "text").mapInArrow(run, "id string, own bigint, words array<int>")
+    return items.select("id", "text").mapInArrow(run, "id string, hi bigint, lo bigint, words array<int>")
 
 
 def _keys(sets: DataFrame) -> DataFrame:
@@ -182,24 +186,32 @@ def paragraphs(chunks: DataFrame) -> DataFrame:
     return x.select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))
 
 
-def prepared(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, sets): which id has which set (one row each, delivered twice or not), and each set once."""
-    packed = word_sets(items).groupBy("own").agg(F.first("words").alias("words"), F.collect_set("id").alias("ids"))
-    packed = cut(packed.select(F.monotonically_increasing_id().alias("set_id"), "words", "ids"))
-    return packed.select("set_id", F.explode("ids").alias("id")), packed.select("set_id", "words")
+def prepared(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, sets, names): which id has which set (one row each, delivered twice or not), each set once, and its smallest id."""
+    base = cut(word_sets(items).withColumn("row", F.monotonically_increasing_id()))
+    first = cut(base.groupBy("hi", "lo").agg(F.min("row").alias("set_id"), F.min("id").alias("name")))
+    sets = base.join(first.select(F.col("set_id").alias("row")), "row", "left_semi").select(F.col("row").alias("set_id"), "words")
+    own, number = base.select("id", "hi", "lo"), first.select("hi", "lo", "set_id")
+    if first.count() <= SETS:
+        members = own.join(F.broadcast(number), ["hi", "lo"])
+    else:  # one set may have a third of all ids, so these are salted
+        number = number.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        members = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(number, ["hi", "lo", "salt"])
+    return cut(members.select("set_id", "id").distinct()), sets, first.select("set_id", "name")
 
 
 def near_pairs(items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of different ids whose texts have at least the given share of words in common.
 
     Texts with fewer than MIN_WORDS distinct words (null and empty ones too) have no pair; a row delivered twice counts once.
+    Groups of copies come out as all their pairs, as asked here; ``near_groups`` is the form that doesn't.
     """
-    members, sets = prepared(items)
+    members, sets, _ = prepared(items)
     linked = similar_sets(sets, similarity).select("a", "b")
     a, b = members.select(F.col("set_id").alias("a"), F.col("id").alias("x")), members.select(F.col("set_id").alias("b"), F.col("id").alias("y"))
-    across = linked.join(a, "a").join(b, "b").select("x", "y")
+    across = linked.join(a, "a").join(b, "b").where("x <> y").select("x", "y")
     copies = a.join(b, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y")
-    return across.unionByName(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    return across.unionByName(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -221,13 +233,20 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def near_groups(items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, class_id, n_links): one row per text with enough words; class_id is the same for all of a group,
-    n_links counts the other texts it is directly similar to, copies included."""
-    members, sets = prepared(items)
+    """(id, class_id, n_links): one row per text with enough words; class_id is the smallest id of its group,
+    n_links counts the other texts it is directly similar to, copies included. A row per id and text, if an id has several."""
+    members, sets, names = prepared(items)
     linked = cut(similar_sets(sets, similarity).select("a", "b"))
-    roots = components(sets.select(F.col("set_id").alias("node")), linked)
+    roots = cut(components(names.select(F.col("set_id").alias("node")), linked))
+    smallest = roots.join(names.withColumnRenamed("set_id", "node"), "node").groupBy("root").agg(F.min("name").alias("class_id"))
     size = members.groupBy("set_id").agg(F.count("*").alias("n"))
     both = linked.select("a", "b").unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = both.join(size.select(F.col("set_id").alias("b"), "n"), "b").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("links"))
-    x = members.join(size, "set_id").join(links, "set_id", "left").join(roots.select(F.col("node").alias("set_id"), F.col("root").alias("class_id")), "set_id")
-    return x.select("id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("bigint").alias("n_links"))
+    about = size.join(links, "set_id", "left").join(roots.withColumnRenamed("node", "set_id"), "set_id").join(smallest, "root")
+    about = cut(about.select("set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("bigint").alias("n_links")))
+    if about.count() <= SETS:
+        x = members.join(F.broadcast(about), "set_id")
+    else:
+        about = about.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        x = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(about, ["set_id", "salt"])
+    return x.select("id", "class_id", "n_links")

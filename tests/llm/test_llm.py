@@ -230,8 +230,29 @@ def test_split_items_by_ranges(spark, monkeypatch, tmp_path):
     assert {r[0] for r in whole} == {"big"} and all(core[s:e] == t for _, _, s, e, t in whole) and len({r[1] for r in whole}) == len(whole)
     path = tmp_path / "f.txt"
     path.write_text(core, encoding="utf-8")
-    got = sorted((r.piece, r.start, r.end) for r in splitting.split_files(spark, [str(path)], 120, 15, 997).collect())
+    (tmp_path / "empty.txt").write_text("")
+    files = splitting.files_of(spark, f"file://{tmp_path}")
+    got = sorted((r.piece, r.start, r.end) for r in splitting.split_files(files, 120, 15, 997).collect())
     assert got == [(p, s, e) for _, p, s, e, _ in whole]
+    # With anchors in every third range the pieces still cover the file in order.
+    got = sorted((r.piece, r.start, r.end) for r in splitting.split_files(files, 120, 15, 497, 3).collect())
+    assert [g[0] for g in got] == list(range(len(got))) and got[0][1] == 0 and got[-1][2] == len(core)
+    assert all(s2 <= e1 and e1 - s2 <= 15 and e2 - s2 <= 120 and e2 > e1 for (_, _, e1), (_, s2, e2) in zip(got, got[1:]))
+
+
+def test_boundaries_after_many_blanks():
+    text = "one.\n" + " " * 500 + "\n" + " " * 300 + "two"
+    p = text.index("two")
+    want = splitting.boundaries(text, 0, len(text), 0)
+    assert want == ([p], [splitting.PARAGRAPH])
+    for size in (1, 7, 100):
+        got = ([], [])
+        for lo in range(0, len(text), size):
+            hi = min(len(text), lo + size)
+            halo = splitting.halo_of(text, lo, hi)
+            part = splitting.boundaries(text[lo - halo : hi], halo, halo + hi - lo, lo - halo)
+            got = (got[0] + part[0], got[1] + part[1])
+        assert got == want
 
 
 # --- 7 encoding
@@ -245,10 +266,14 @@ def test_encoding_in_parts_is_exact(chars, most):
     assert encoding.encode_text(text, most=most) == (enc.encode_ordinary(text) if text else [])
 
 
-def test_encode_corpus(spark):
+@pytest.mark.parametrize("solo, group", [(1 << 16, 512), (100, 3)])
+def test_encode_corpus(spark, monkeypatch, solo, group):
+    monkeypatch.setattr(encoding, "SOLO", solo)  # small: parts go through all tasks
+    monkeypatch.setattr(encoding, "GROUP", group)
     long = "流速测量" * 3000 + " and then " + "x" * 5000
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a <|endoftext|> b", 0), (4, long, 0)], "doc_id bigint, text string, ids int")
-    got = {r.doc_id: r.ids for r in encoding.encode_corpus(df).collect()}
+    got = {r.doc_id: r.ids for r in encoding.encode_corpus(df.unionByName(df)).collect()}
+    assert encoding.encode_corpus(df.unionByName(df)).count() == 8 and all(len(x) < 600 for x in encoding.halves(long))
     enc, of = encoding.load()
     assert got[1] == got[2] == [] and got[3] == enc.encode_ordinary("a <|endoftext|> b") and got[4] == enc.encode_ordinary(long)
     assert b"".join(of[i] for i in got[4]).decode() == long
