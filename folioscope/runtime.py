@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,10 +55,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This job's part of the shared folder; what is written there goes when the driver ends."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _own:
+        folder = f"{shared_folder(spark)}/folio-{uuid.uuid4().hex}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _own[sc.applicationId] = folder
+    return _own[sc.applicationId]
+
+
+_own: dict[str, str] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` and drop its lineage in the shared folder (``shared_folder``)."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Materialise ``df`` as a table in the shared folder and go on from there, without its lineage.
+
+    A table rather than a checkpoint: it is smaller, only the columns that are asked for are read again, and its size is
+    known to the optimizer.
+    """
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def require(df: DataFrame, *names: str) -> DataFrame:
