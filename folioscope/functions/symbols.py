@@ -4,38 +4,107 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Greek letters that are also searched by their names, and single characters worth a token.
-GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "θ": "theta", "κ": "kappa", "λ": "lambda", "μ": "mu", "ν": "nu", "ρ": "rho", "σ": "sigma", "τ": "tau", "φ": "phi", "ω": "omega"}
-SINGLE = set("xyutkmnr=") | set(GREEK)
-_TOKEN = re.compile(r"\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|\w+(?:[_-]\w+)*|=")
-_SPACED = re.compile(r"(?<!\w)(?:\w ){3,}\w(?!\w)")
+# Names of Greek letters, single characters worth a token, and how spaced-out quantities are put together, in this order.
+GREEK = {
+    "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ϵ": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta", "ϑ": "theta", "ι": "iota", "κ": "kappa", "λ": "lambda", "μ": "mu", "ν": "nu", "ξ": "xi",
+    "π": "pi", "ρ": "rho", "ϱ": "rho", "σ": "sigma", "τ": "tau", "υ": "upsilon", "ϕ": "phi", "φ": "phi", "χ": "chi", "ψ": "psi", "ω": "omega", "∞": "inf",
+}
+LETTER = {
+    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "zeta": "ζ", "eta": "η", "theta": "θ", "iota": "ι", "kappa": "κ", "lambda": "λ", "mu": "μ", "nu": "ν", "xi": "ξ", "pi": "π", "rho": "ρ",
+    "sigma": "σ", "tau": "τ", "upsilon": "υ", "phi": "ϕ", "chi": "χ", "psi": "ψ", "omega": "ω", "inf": "∞", "infinity": "∞",
+}
+SINGLE = set("kuvwpqmcxyzhlrst")
+_CHARACTER = "[a-z0-9Ͱ-Ͽἀ-῿₀-₉ₐ-ₜ∞]"
+SPACED_QUANTITIES = [
+    (r"(?i)\bR\s*[˜̃~∼]\s*e\s*[_]?\s*(?:θ|theta)?\s*t\b", "Re_thetat"),
+    (r"(?i)\bR\s*[˜̃~∼]\s*e\b", "Re_tilde"),
+    (r"(?i)\bR\s*e\s*_\s*(?:θ|theta)\s*t\b", "Re_thetat"),
+    (r"(?i)\bR\s*e\s*_\s*(?:θ|theta)\b", "Re_theta"),
+    (r"(?i)\bR\s*e\s*_\s*([a-z0-9]+)\b", r"Re_\1"),
+    (r"(?i)\bR\s+e\s*_\s*", "Re_"),
+    (r"(?i)\bR\s+e\b(?=\s*[=<>+\-*/(])", "Re"),
+    (r"\bT\s+u\b", "Tu"),
+    (r"(?i)\bF\s*S\s*T\s*I\b", "FSTI"),
+    (r"\bC\s+f\b", "Cf"),
+    (r"\bC\s+p\b", "Cp"),
+    (r"\bC\s+l\b", "Cl"),
+    (r"\bC\s+d\b", "Cd"),
+    (r"\bM\s+a\b", "Ma"),
+    (r"\bP\s+r\b", "Pr"),
+    (r"(?i)\bk\s*-\s*ω(?!\w)", "k-ω"),
+    (r"(?i)\bk\s*-\s*omega\b", "k-omega"),
+    (r"(?i)\bk\s*-\s*ε(?!\w)", "k-ε"),
+    (r"(?i)\bk\s*-\s*epsilon\b", "k-epsilon"),
+    (r"(?i)\bγ\s*-\s*Re\b", "γ-Re"),
+    (r"(?i)\bgamma\s*-\s*Re\b", "gamma-Re"),
+    (r"\bτ\s*_\s*w\b", "τ_w"),
+    (r"(?i)\btau\s*_\s*w\b", "tau_w"),
+    (r"ν\s*_\s*∞(?!\w)", "ν_∞"),
+    (r"(?i)\bnu\s*_\s*∞(?!\w)", "nu_∞"),
+    (r"[uU]\s*_\s*∞(?!\w)", "U_∞"),
+]
+
+_TOKEN = re.compile(f"{_CHARACTER}+(?:[_.-]{_CHARACTER}+)*")
+_RULES = [(re.compile(p), to) for p, to in SPACED_QUANTITIES]
+_MAY_BE_SPACED = re.compile(r"[RrTFfCMPkKγuUν∞τn]\s*[\s_~∼˜̃-]")
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+_SPACED_WORD = re.compile(r"\b[A-Za-z](?: [A-Za-z]){3,}\b")
+_LONGEST_FIRST = sorted(LETTER, key=len, reverse=True)
 
 
 def normalize(text: str | None) -> str:
-    """FUN-01: without control characters, compatibility forms folded, spaced-out letters joined, blanks collapsed."""
-    t = unicodedata.normalize("NFKC", text or "")
-    t = "".join(ch for ch in t if ch in "\n\t" or unicodedata.category(ch) != "Cc")
-    t = _SPACED.sub(lambda m: m.group().replace(" ", ""), t)
-    return re.sub(r"[ \t]+", " ", t).strip()
+    """FUN-01: control characters out, compatibility forms folded, spaced-out quantities and words put together, blanks collapsed."""
+    t = _CONTROL.sub("", text or "").replace("ﬅ", "ft")
+    t = t if t.isascii() else unicodedata.normalize("NFKC", t)
+    for pattern, to in _RULES if _MAY_BE_SPACED.search(t) else ():
+        t = pattern.sub(to, t)
+    t = _SPACED_WORD.sub(lambda m: m.group().replace(" ", ""), t)
+    return re.sub(r"[ \t]{2,}", " ", t).strip()
+
+
+def _in_greek(part: str) -> str | None:
+    """A part of a compound with its Greek letter for the letter's name: the whole part, or a name with at most two more characters."""
+    if part in LETTER:
+        return LETTER[part]
+    name = next((x for x in _LONGEST_FIRST if part.startswith(x) and len(part) > len(x) and len(part) - len(x) <= 2), None)
+    return LETTER[name] + part[len(name) :] if name else None
+
+
+def names(token: str) -> list[str]:
+    """A token, the same with Greek letters spelled out, and with spelled-out letters in Greek, as far as they differ."""
+    spelled = "".join(GREEK.get(ch, ch) for ch in token)
+    parts = re.split(r"([_.-])", token)
+    greek = [_in_greek(p) for p in parts]
+    symbolic = "".join(g or p for g, p in zip(greek, parts))
+    return list(dict.fromkeys([token, spelled, *([symbolic] if any(greek) else [])]))
+
+
+@lru_cache(maxsize=1 << 17)
+def _forms(token: str) -> tuple[str, ...]:
+    def every() -> Iterator[str]:
+        for name in names(token):
+            yield name
+            for sign in "_-":
+                for part in name.split(sign) if sign in name else ():
+                    yield part
+                    yield from names(part)
+
+    return tuple(t for t in dict.fromkeys(every()) if len(t) != 1 or t in GREEK or t.isdigit() or t in SINGLE)
 
 
 def tokens(text: str | None) -> list[str]:
-    """FUN-02: distinct tokens in order, with the parts of compounds and the other name of Greek letters."""
-    out: dict[str, None] = {}
-    for m in _TOKEN.finditer(unicodedata.normalize("NFKC", text or "").lower()):
-        w = m.group()
-        for x in [w, *re.split(r"[_-]", w)]:
-            if len(x) > 1 or x in SINGLE or x.isdigit():
-                out[x] = None
-                for g, name in GREEK.items():
-                    if g in x:
-                        out[x.replace(g, name)] = None
-    return list(out)
+    """FUN-02: distinct tokens in order, each followed by its other names and the parts of compounds."""
+    if not text:
+        return []
+    t = unicodedata.normalize("NFKC", normalize(text)).lower()
+    return list(dict.fromkeys(x for w in _TOKEN.findall(t) for x in _forms(w)))
 
 
 def normalize_column(c: str | Column) -> Column:

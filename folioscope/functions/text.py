@@ -18,6 +18,20 @@ FIGURE_REF = r"(?i)(?:Fig(?:ure|\.)?\s*([0-9]+(?:\.[0-9]+)*[a-z]?))"
 TABLE_REF = r"(?i)(?:Tab(?:le|\.)?\s*([0-9]+(?:\.[0-9]+)*[a-z]?))"
 NOISE_HEADINGS = ["acknowledgements", "acknowledgments", "references", "nomenclature", "contents", "table of contents", "author details", "biography"]
 ARTICLES = r"\b(a|an|the)\b"
+SYMBOL = (
+    r"(?:Re_?[a-zθ,\\_{}xLTw ]*|x_?[tLe01a-z]|theta_?t|θ_?t|Tu|T_?u|lambda_?θ|λ_?θ|C_?f|C_?p|delta[*]?_?\d*|δ[*]?_?\d*|gamma|γ"
+    r"|n[·.\\s]?sigma|n[·.\\s]?σ|n[·.\\s]?hat[·.\\s]?sigma|Re_?x|Re_?L|Re_?LT|F\(lambda\)|F\(λ\))"
+)
+SCIENTIFIC = r"\d+\.?\d*\s*[×xX*]\s*10[\^\s]*[-−⁻]?\s*[\d⁰¹²³⁴⁵⁶⁷⁸⁹+-]+"
+NUMBER = rf"(?:\d+\.?\d*(?:[eE][-+]?\d+)?|{SCIENTIFIC})"
+EQUATION_TOKENS = (
+    r"(?:\bRe_[\p{L}\p{N}_]+|\\theta\b|\\Theta\b|\\Lambda\b|\\nu\b|\\sigma\b|\\Sigma\b|\\gamma\b|\\delta\b|\btheta_t\b|\btheta_S\b|\bTu\s*\*\*|Tu\^"
+    r"|\bsqrt\s*\(|\\sqrt\b|\bexp\s*\(|\\exp\b|\\cdot\b|\\times\b|\\frac\b|\\Eq\b|\bEq\.\s*\()"
+)
+REFERENCE_TOKENS = (
+    r"(?:\bet al\.?\s*[,\(]|\bet al\.\s+\d{4}|\bJ\.\s*Fluid\s*Mech\.|\bAIAA\s*J\.|AIAA\s+J\b|\bPhys\.\s*Fluids|\bAnnu\.\s*Rev\.|\bExp\.\s*Fluids|\bIntl?\.\s*J\.|\bdoi[:\s]*10\.)"
+)
+YEAR = r"\b(?:19\d{2}|20\d{2})\b"
 
 
 def tokens(text: str | Column) -> Column:
@@ -64,13 +78,33 @@ def is_noise(c: str) -> Column:
     )
 
 
+ASSIGNED = rf"(?i){SYMBOL}\s*(?:=|≈|≃|~|:)\s*\d"
+RANGED = rf"(?i){NUMBER}\s*(?:[-–—]|to)\s*\d"
+IN_SCIENCE = rf"{SCIENTIFIC}|\d+\.?\d*[eE][-+]?\d+"
+
+
 def has_numeric_data(c: str) -> Column:
     """FLT-10 for texts of six characters or more: a symbol with a value, a range, or two numbers in scientific notation."""
     t = F.col(c)
-    assigned = t.rlike(r"(?i)(Re_?[a-z]*|x_?[tLe01a-z]|theta_?t|T_?u|C_?[fp]|delta_?\d*|δ_?\d*|gamma|γ|Re_?x)\s*(=|≈|≃|~|:)\s*\d")
-    ranged = t.rlike(r"(?i)\d\s*([-–—]|to)\s*\d")
-    science = F.regexp_count(t, F.lit(r"\d[eE][-+]?\d+|\d\s*[×*]\s*10[\^]?\s*[-−]?\d+")) >= 2
-    return F.coalesce((F.length(t) >= 6) & (assigned | ranged | science), F.lit(False))
+    found = t.rlike("(?u)" + ASSIGNED) | t.rlike(RANGED) | (F.regexp_count(t, F.lit(IN_SCIENCE)) >= 2)
+    return F.coalesce((F.length(t) >= 6) & found, F.lit(False))
+
+
+def content_signal(c: str | Column) -> Column:
+    """RET-16: (factor, eq, ref) of a text by its first 2000 characters: many equation tokens raise it up to 1.4, many marks of a
+    list of references lower it down to 0.5 unless there are equations. Null and empty texts have factor 1."""
+    t = F.substring(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), 1, 2000)
+    eq, ref = F.regexp_count(t, F.lit(EQUATION_TOKENS)).cast("bigint"), F.regexp_count(t, F.lit(REFERENCE_TOKENS)).cast("bigint")
+    boost = ramp(eq.cast("double"), 8, 20, 1.0, 1.4)
+    demote = F.when(eq >= 8, 1.0).otherwise(ramp(ref.cast("double"), 6, 15, 1.0, 0.5))
+    return F.struct((boost * demote).alias("factor"), eq.alias("eq"), ref.alias("ref"))
+
+
+def metadata_matches(metadata: Column, key: Column) -> Column:
+    """FLT-15: whether ``metadata`` has the value of a ``field::value`` key, as strings; a missing field or a key without "::" never matches."""
+    field = F.substring_index(key, "::", 1)
+    value = F.when(F.instr(key, "::") > 0, F.substring(key, F.instr(key, "::") + 2, F.length(key)))
+    return F.coalesce(metadata[field] == value, F.lit(False))
 
 
 def answer_form(c: str | Column) -> Column:

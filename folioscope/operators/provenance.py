@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 # Scales at which a number may be restated, and substrings that name a quantity, from special to general.
 UNIT_SCALES = [1.0, 1e3, 1e-3, 1e2, 1e-2]
-SYMBOLS = [("rethetat", "re_theta_t"), ("retr", "re_tr"), ("rex", "re_x"), ("tulocal", "tu_xt"), ("tuxt", "tu_xt"), ("xend", "x_end"), ("ltr", "l_tr"), ("xt", "x_t"), ("xonset", "x_t"), ("lambda", "lambda"), ("delta", "delta")]
+SYMBOLS = [
+    ("rethetat", "re_theta_t"), ("rethetas", "re_theta_t"), ("retr", "re_tr"), ("rex", "re_x"),
+    ("tulocal", "tu_xt"), ("tuatxt", "tu_xt"), ("tuxt", "tu_xt"), ("tudecay", "tu_xt"),
+    ("xend", "x_end"), ("xcomplete", "x_end"), ("xturb", "x_end"), ("ltr", "l_tr"), ("ltrans", "l_tr"),
+    ("xt", "x_t"), ("xtr", "x_t"), ("xonset", "x_t"), ("lambda", "lambda"), ("delta", "delta"),
+]
+WHOLE = {"xe": "x_end"}
 
 
 def quantity_name(c: str | Column) -> Column:
@@ -25,13 +31,31 @@ def quantity_name(c: str | Column) -> Column:
 
 def base_symbol(c: str | Column) -> Column:
     """FUN-15: the quantity a name refers to, null if none is known."""
-    n = F.regexp_replace(F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))), r"[^a-z0-9]", "")
+    n = F.regexp_replace(F.replace(F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))), F.lit("θ"), F.lit("theta")), r"[^a-z0-9]", "")
     out = F.when(F.lit(False), F.lit(""))
+    for name, symbol in WHOLE.items():
+        out = out.when(n == name, symbol)
     for part, symbol in SYMBOLS:
         out = out.when(n.contains(part), symbol)
     return out
 
 
+QUALIFIERS = {
+    "inlet": ["inlet", "no decay", "no-decay", "first", "lower bound", "undecayed"],
+    "decay": ["converg", "decay-correct", "decay correct", "decay-corr", "primary", "corrected"],
+    "ags": ["ags", "abu", "ghannam"],
+    "mayle": ["mayle"],
+    "fransson": ["fransson"],
+}
+
+
+def qualifiers(c: str | Column) -> Column:
+    """FUN-15: sorted qualifiers that a name carries."""
+    n = F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+    any_of = lambda parts: F.greatest(*[n.contains(p) for p in parts], F.lit(False))
+    return F.array_sort(F.array_compact(F.array(*[F.when(any_of(parts), q) for q, parts in QUALIFIERS.items()])))
+
+
 def within(v: Column, p: Column, relative: float = 0.02, absolute: float = 1e-9) -> Column:
     """JON-11 for one pair: equal at one of the unit scales, within the absolute or relative tolerance."""
     hit = F.lit(False)

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import QUERY_PUNCTUATION, tokens
-from folioscope.runtime import cut, spread
+from folioscope.functions.text import content_signal, metadata_matches
+from folioscope.operators.lexical import bm25  # noqa: F401
 
-K1, B = 1.5, 0.75
 RRF_K = 60
 
 
@@ -22,26 +21,6 @@ def top_k(df: DataFrame, key: list[str], score: Column, tie: str, k: int, rank:
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """RET-05: (query_id, doc_id, score, rank) of the k best documents with a common token.
-
-    ``queries`` (query_id, text), ``docs`` (doc_id, text). Length counts every token; a token that the query has twice
-    counts twice; documents without a common token have no row. Postings are those of query tokens only.
-    """
-    asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).where(~F.col("term").isin(QUERY_PUNCTUATION)).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    # Written once: both the statistics and the postings read it, and the optimizer can't repeat the splitting per token.
-    split = cut(spread(docs.select("doc_id", "text")).select("doc_id", tokens("text").alias("tokens"))).withColumn("len", F.size("tokens"))
-    stats = split.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    tf = split.select("doc_id", "len", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    s = stats.first()  # one row
-    n, avg = float(s["n"] or 0), float(s["avg_len"] or 1.0) or 1.0
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))
-    scored = asked.join(df, "term").join(tf, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-    return top_k(scored.withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6), ["query_id"], F.col("score"), "doc_id", k)
-
-
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """RET-01: (query_id, vec_id, score, rank) by cosine; zero vectors score 0, null vectors have no row.
 
@@ -155,3 +134,34 @@ def mmr(pool: DataFrame, limit: int = 10, lam: float = 0.75) -> DataFrame:
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return pool.withColumn("pos", F.row_number().over(w)).groupBy("query_id").applyInPandas(run, "query_id bigint, item_id bigint, pick int")
+
+
+def reweight(rows: DataFrame, weights: dict[str, float], fused: str = "fused", metadata: str = "metadata") -> DataFrame:
+    """RET-11: ``rows`` with adjusted = fused - 0.1 times the sum of the weights whose ``field::value`` key they match, and matched keys."""
+    keys = sorted(weights)
+    hit = [metadata_matches(F.col(metadata), F.lit(k)) for k in keys]
+    total = sum((F.when(h, weights[k]).otherwise(0.0) for h, k in zip(hit, keys)), F.lit(0.0))
+    matched = F.array_compact(F.array(*[F.when(h, k) for h, k in zip(hit, keys)])) if keys else F.array().cast("array<string>")
+    return rows.withColumn("adjusted", F.col(fused) - 0.1 * total).withColumn("matched", matched)
+
+
+def rerank(pool: DataFrame, scorer: Callable[[Column, Column], Column] | None, k: int = 3, least: float | None = None) -> DataFrame:
+    """RET-14: the k best of each query's pool (query_id, chunk_id, query, content, pos) by ``scorer`` of (query, content), those under
+    ``least`` left out; without a scorer the first k in input order."""
+    if scorer is None:
+        order = Window.partitionBy("query_id").orderBy("pos")
+        return pool.withColumn("rerank", F.lit(None).cast("double")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    x = pool.withColumn("rerank", scorer(F.col("query"), F.col("content")))
+    x = x if least is None else x.where(F.col("rerank") >= least)
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank"), "pos")
+    return x.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def rerank_with_signals(pool: DataFrame, out_of_domain: DataFrame, demotion: float = 0.1, k: int = 30) -> DataFrame:
+    """RET-15: ``pool`` (query_id, chunk_id, paper_id, content, raw) ranked by raw score times the demotion of papers of
+    ``out_of_domain`` (paper_id) times the factor of the content (RET-16); the first k."""
+    out = out_of_domain.select("paper_id").distinct().withColumn("_out", F.lit(True))
+    x = pool.join(out, "paper_id", "left").withColumn("rerank", F.col("raw") * F.when(F.col("_out"), demotion).otherwise(1.0) * content_signal("content")["factor"]).drop("_out")
+    x = x.withColumn("rerank", F.floor(F.col("rerank") * 1e6 + 0.5) / 1e6)
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank"), "chunk_id")
+    return x.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

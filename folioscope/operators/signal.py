@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+#: Fixed value: samples that a record must have.
+LEAST = 1000
+
+
 def autocorrelation(u: np.ndarray) -> np.ndarray:
     x = u - u.mean()
     n = 1 << (2 * len(x) - 1).bit_length()
@@ -21,7 +25,7 @@ def _until(r: np.ndarray, level: float) -> int:
 
 def length_scales(u: np.ndarray, speed: float, rate: float) -> dict[str, float]:
     """FUN-31: four estimates of the integral length and their consensus: median, spread in percent."""
-    if len(u) < 100 or not np.isfinite(u).all() or speed <= 0 or rate <= 0 or u.std() == 0:
+    if len(u) < LEAST or not np.isfinite(u).all() or speed <= 0 or rate <= 0 or u.std() == 0:
         return {}
     r = autocorrelation(u)
     area = lambda z: float(((z[1:] + z[:-1]) / 2).sum()) / rate * speed

@@ -182,22 +182,19 @@ def flt03_noise(spark, d):
     return chunks(spark, d).where(text.is_noise("content")).select("chunk_id").distinct()
 
 
-@query(r"""SELECT chunk_id, length(content) >= 6 AND (regexp_matches(content, '(?i)(Re_?[a-z]*|x_?[tLe01a-z]|theta_?t|T_?u|C_?[fp]|delta_?\d*|δ_?\d*|gamma|γ|Re_?x)\s*(=|≈|≃|~|:)\s*\d') OR regexp_matches(content, '(?i)\d\s*([-–—]|to)\s*\d')
-    OR len(regexp_extract_all(content, '\d[eE][-+]?\d+|\d\s*[×*]\s*10[\^]?\s*[-−]?\d+')) >= 2) AS numeric_data FROM (SELECT DISTINCT chunk_id, content FROM structured_chunks WHERE content IS NOT NULL)""")
+@query(f"""SELECT DISTINCT chunk_id, length(content) >= 6 AND (regexp_matches(content, '{text.ASSIGNED}') OR regexp_matches(content, '{text.RANGED}') OR len(regexp_extract_all(content, '{text.IN_SCIENCE}')) >= 2) AS numeric_data
+    FROM structured_chunks WHERE content IS NOT NULL""")
 def flt10_numeric(spark, d):
     """FLT-10."""
     return chunks(spark, d).where("content is not null").select("chunk_id", text.has_numeric_data("content").alias("numeric_data")).distinct()
 
 
-@query(r"""WITH x AS (SELECT DISTINCT chunk_id, substr(content, 1, 2000) AS t FROM structured_chunks WHERE content IS NOT NULL), n AS (SELECT chunk_id, len(regexp_extract_all(t, '=|\^|\\frac|\$\$')) AS eq, len(regexp_extract_all(t, '(?i)et al\.|\(\d{4}\)|doi')) AS ref FROM x)
+@query(f"""WITH n AS (SELECT DISTINCT chunk_id, len(regexp_extract_all(substr(content, 1, 2000), '{text.EQUATION_TOKENS}')) AS eq, len(regexp_extract_all(substr(content, 1, 2000), '{text.REFERENCE_TOKENS}')) AS ref FROM structured_chunks WHERE content IS NOT NULL)
     SELECT chunk_id, eq, ref, floor((CASE WHEN eq >= 20 THEN 1.4::DOUBLE WHEN eq >= 8 THEN 1.0::DOUBLE + 0.4::DOUBLE * (eq - 8) / 12 ELSE 1.0::DOUBLE END) * (CASE WHEN eq >= 8 THEN 1.0::DOUBLE WHEN ref >= 15 THEN 0.5::DOUBLE WHEN ref >= 6 THEN 1.0::DOUBLE - 0.5::DOUBLE * (ref - 6) / 9 ELSE 1.0::DOUBLE END) * 1e6 + 0.5) / 1e6 AS factor FROM n""")
 def ret16_signal(spark, d):
     """RET-16: boost for equations, demotion for lists of references, on the first 2000 characters as the operator defines."""
-    t = F.substring("content", 1, 2000)
-    x = chunks(spark, d).where("content is not null").select("chunk_id", F.regexp_count(t, F.lit(r"=|\^|\\frac|\$\$")).cast("bigint").alias("eq"), F.regexp_count(t, F.lit(r"(?i)et al\.|\(\d{4}\)|doi")).cast("bigint").alias("ref")).distinct()
-    boost = text.ramp(F.col("eq").cast("double"), 8, 20, 1.0, 1.4)
-    demote = F.when(F.col("eq") >= 8, 1.0).otherwise(text.ramp(F.col("ref").cast("double"), 6, 15, 1.0, 0.5))
-    return x.select("chunk_id", "eq", "ref", r6(boost * demote, "factor"))
+    x = chunks(spark, d).where("content is not null").select("chunk_id", text.content_signal("content").alias("s"))
+    return x.select("chunk_id", "s.eq", "s.ref", r6(F.col("s.factor"), "factor")).distinct()
 
 
 _NORM = r"trim(regexp_replace(lower(regexp_replace(coalesce(text, ''), '(?i)\[(paper|chunk_id|page)[^\]]*\]', ' ', 'g')), '[^\p{L}\p{N}_]+', ' ', 'g'))"
@@ -273,14 +270,17 @@ def win04_siblings(spark, d):
     return graph.siblings(x)
 
 
-@query("""WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'r' || r_regionkey, 'root' FROM region),
-    a AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT a.node, e.parent, a.depth + 1 FROM a JOIN e ON a.ancestor = e.child) SELECT * FROM a""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT chunk_id AS child, parent_id AS parent FROM structured_chunks WHERE parent_id IS NOT NULL AND chunk_id IS NOT NULL UNION SELECT chunk_id, paper_id FROM structured_chunks WHERE parent_id IS NULL AND chunk_id IS NOT NULL AND paper_id IS NOT NULL
+      UNION SELECT paper_id, 'Root' FROM papers WHERE paper_id IS NOT NULL UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 'r' || r_regionkey, 'Root' FROM region),
+    a AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT a.node, e.parent, a.depth + 1 FROM a JOIN e ON a.ancestor = e.child) SELECT DISTINCT * FROM a""")
 def grf06_ancestors(spark, d):
-    """GRF-06: every node's ancestors up to the root."""
+    """GRF-06: ancestors of every chunk, section and paper, and of customers in their regions, up to the root."""
     edge = lambda t, a, x, b, y: table(spark, d, t).select(F.concat(F.lit(a), F.col(x).cast("string")).alias("child"), F.concat(F.lit(b), F.col(y).cast("string")).alias("parent"))
     e = edge("nation", "n", "n_nationkey", "r", "n_regionkey").unionByName(edge("customer", "c", "c_custkey", "n", "c_nationkey"))
-    e = e.unionByName(table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("child"), F.lit("root").alias("parent")))
-    return graph.ancestors(e)
+    e = e.unionByName(table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("child"), F.lit("Root").alias("parent")))
+    c = table(spark, d, "structured_chunks").where("chunk_id is not null")
+    e = e.unionByName(c.where("parent_id is not null").select(F.col("chunk_id").alias("child"), F.col("parent_id").alias("parent"))).unionByName(c.where("parent_id is null and paper_id is not null").select(F.col("chunk_id").alias("child"), F.col("paper_id").alias("parent")))
+    return graph.ancestors(e.unionByName(table(spark, d, "papers").where("paper_id is not null").select(F.col("paper_id").alias("child"), F.lit("Root").alias("parent"))))
 
 
 _GRADED = f"""{SQL_HITS}, g AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC NULLS LAST, chunk_id) AS rank, CASE label WHEN 'relevant' THEN 3 WHEN 'can_support' THEN 2 WHEN 'background' THEN 1 ELSE 0 END AS grade FROM h)"""
@@ -496,6 +496,28 @@ def agg15_consensus(spark, d):
     return a.select("user_id", r6(F.col("m"), "med"), r6(F.col("s") / F.col("m") * 100, "spread"))
 
 
+_TRIMMED = r"regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""WITH c AS (SELECT DISTINCT chunk_id, {_TRIMMED} AS s FROM structured_chunks WHERE {SQL_KIND} IN ('paragraph', 'parent')),
+    n AS (SELECT chunk_id, s, regexp_matches(s, '[\x00-\x08\x0b-\x1f\x7f]') AS control, regexp_matches(s, '[._=~`''"\-]{{4,}}') AS noise, 1 - len(regexp_extract_all(s, '[^\p{{L}}\p{{N}}\s.,;:()\[\]{{}}%+\-=/*_]'))::DOUBLE / greatest(length(s), 1) AS ratio FROM c)
+    SELECT DISTINCT chunk_id, s <> '' AND NOT control AND NOT noise AND NOT (ratio < 0.75 AND length(s) > 20) AS passed, CASE WHEN s = '' THEN 1 ELSE control::INT + noise::INT + (ratio < 0.75 AND length(s) > 20)::INT END AS n_issues FROM n""")
+def fun05_text_gate(spark, d):
+    """FUN-05: the gate of prose over paragraphs and sections."""
+    x = chunks(spark, d).where(text.kind("element_type").isin("paragraph", "parent")).select("chunk_id", quality.text_gate("content").alias("g"))
+    return x.select("chunk_id", "g.passed", "g.n_issues").distinct()
+
+
+@query(rf"""WITH c AS (SELECT DISTINCT chunk_id, coalesce(content, '') AS t FROM structured_chunks WHERE {SQL_KIND} = 'table'), l AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '\r\n|\r|\n'), lambda x: trim(x)), lambda x: x <> '') AS l FROM c),
+    r AS (SELECT *, list_transform(list_filter(l, lambda x: starts_with(x, '|') AND ends_with(x, '|') AND length(x) > 1 AND NOT regexp_matches(x, '^[|\-: ]*$')), lambda x: len(string_split(substr(x, 2, length(x) - 2), '|'))) AS w FROM l)
+    SELECT DISTINCT chunk_id, CASE WHEN len(l) < 2 OR len(w) = 0 THEN false ELSE len(list_distinct(w)) = 1 AND NOT (NOT regexp_matches(t, '[0-9]') AND list_sum(w) > 6) END AS passed,
+      CASE WHEN len(l) < 2 THEN 0.0::DOUBLE WHEN len(w) = 0 THEN 0.2::DOUBLE ELSE round(1.0::DOUBLE - CASE WHEN len(list_distinct(w)) > 1 THEN 0.4::DOUBLE ELSE 0 END - CASE WHEN NOT regexp_matches(t, '[0-9]') THEN 0.2::DOUBLE ELSE 0 END, 2) END AS score FROM r""")
+def fun05_table_gate(spark, d):
+    """FUN-05: the gate of markdown tables."""
+    x = chunks(spark, d).where(text.kind("element_type") == "table").select("chunk_id", quality.table_gate("content").alias("g"))
+    return x.select("chunk_id", "g.passed", "g.score").distinct()
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Evidence of the query set: lexical ranks over all chunks fused with the recorded dense ranks."""
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "chunk_id")
@@ -556,15 +578,21 @@ def snk14_summary(spark, d):
 
 @query(r"""WITH f AS (SELECT DISTINCT chunk_id, trim(content) AS s FROM structured_chunks WHERE lower(trim(element_type, ' ' || chr(9) || chr(10) || chr(13))) = 'equation' AND content IS NOT NULL),
     n AS (SELECT chunk_id, s, (len(regexp_extract_all(s, '\{')) - len(regexp_extract_all(s, '\\\{')) <> len(regexp_extract_all(s, '\}')) - len(regexp_extract_all(s, '\\\}')))::INT + (len(regexp_extract_all(s, '\[')) - len(regexp_extract_all(s, '\\\[')) <> len(regexp_extract_all(s, '\]')) - len(regexp_extract_all(s, '\\\]')))::INT
-      + (len(regexp_extract_all(s, '\(')) - len(regexp_extract_all(s, '\\\(')) <> len(regexp_extract_all(s, '\)')) - len(regexp_extract_all(s, '\\\)')))::INT + regexp_matches(s, '[=+\-*/<>]\s*$')::INT + regexp_matches(s, '\\frac\s*\{[^{}]*\}\s*($|[^{\s])')::INT AS k FROM f)
-    SELECT chunk_id, s <> '' AND k = 0 AS passed, CASE WHEN s = '' THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - 0.25::DOUBLE * k) END AS score FROM n""")
+      + (len(regexp_extract_all(s, '\(')) - len(regexp_extract_all(s, '\\\(')) <> len(regexp_extract_all(s, '\)')) - len(regexp_extract_all(s, '\\\)')))::INT + regexp_matches(s, '(?:[+\-=/*\\]|\\times|\\cdot|\\div|\\pm|\\mp|\\to|\\le|\\ge)\s*$')::INT + regexp_matches(s, '\\frac\s*\{[^{}]*\}\s*$')::INT + regexp_matches(s, 'R[˜~]\s*e\s*t|R\s*e\s*_|\bT\s*u\b')::INT AS k FROM f)
+    SELECT chunk_id, s <> '' AND k = 0 AS passed, CASE WHEN s = '' THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - 0.25::DOUBLE * k) END AS score, CASE WHEN s = '' THEN 1 ELSE k END AS n_issues FROM n""")
 def fun05_latex_gate(spark, d):
     """FUN-05 over all equations."""
     x = chunks(spark, d).where((text.kind("element_type") == "equation") & F.col("content").isNotNull()).select("chunk_id", F.trim("content").alias("s"), quality.latex_gate("content").alias("g"))
-    return x.select("chunk_id", "s", "g.passed", "g.score").distinct().drop("s")
+    return x.select("chunk_id", "s", "g.passed", "g.score", "g.n_issues").distinct().drop("s")
 
 
-@query()
+@query(r"""WITH c AS (SELECT DISTINCT chunk_id, regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g') AS s FROM structured_chunks), t AS (SELECT *, list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '') AS t FROM c),
+    n AS (SELECT *, len(list_filter(t, lambda w: regexp_matches(w, '^\p{L}{2,}$')))::DOUBLE / nullif(len(t), 0) AS share FROM t)
+    SELECT DISTINCT chunk_id, CASE WHEN s = '' THEN 'empty' WHEN regexp_matches(s, '={2,}|=\s*=|_\s*_|—\s*—|-{3,}|[0-9]=[0-9]') THEN 'repeated_equals_or_operators'
+      WHEN regexp_matches(s, '(?:^|\n)\s*[a-zA-Z0-9''-]{1,10}\s*\n\s*[_–—=]{2,}\s*\n\s*[a-zA-Z0-9''-]{1,10}') THEN 'broken_fraction_sequence' WHEN regexp_matches(s, '[a-zA-Z0-9]\s*/\s*[/''~]') THEN 'broken_slash_sequence'
+      WHEN regexp_matches(s, '[~^\\|·§©®ðÞ∂∫∑√]') OR len(regexp_extract_all(s, '(?:^|\s)[~^&\\|*·''_]{1,3}(?:\s|$)')) >= 2 THEN 'isolated_stray_symbols_or_glyphs' WHEN regexp_matches(s, '^(\(\s*\d+\s*\)|Eq\.\s*\(?\s*\d+\s*\)?)$') THEN 'bare_equation_number'
+      WHEN regexp_matches(s, '^[∂∫∑√]\s*[a-zA-Z0-9~_\s]{1,12}$') THEN 'dangling_derivative_or_integral' WHEN length(s) < 15 AND regexp_matches(s, '^[a-zA-Z0-9\s_]{0,5}[=−-]\s*[0-9−-]{1,5}$') THEN 'truncated_short_equation'
+      WHEN len(t) >= 2 AND regexp_matches(s, '[=+\-/∫∑∂√^()%*ε]|Re_|Tu') AND share < 0.5 THEN 'low_word_ratio_' || printf('%.2f', share) ELSE 'clean' END AS reason FROM n""")
 def flt09_garbled(spark, d):
     """FLT-09: reasons over all chunks."""
     return chunks(spark, d).select("chunk_id", quality.garbled("content").alias("reason")).distinct()
@@ -576,8 +604,9 @@ def fun02_tokens(spark, d):
     return table(spark, d, "retrieval_queries").select("query_id", symbols.token_column(symbols.normalize_column("query_text")).alias("tokens"))
 
 
-@query(r"""SELECT DISTINCT alias_row_id, CASE WHEN n LIKE '%rethetat%' THEN 're_theta_t' WHEN n LIKE '%retr%' THEN 're_tr' WHEN n LIKE '%rex%' THEN 're_x' WHEN n LIKE '%tulocal%' OR n LIKE '%tuxt%' THEN 'tu_xt' WHEN n LIKE '%xend%' THEN 'x_end' WHEN n LIKE '%ltr%' THEN 'l_tr' WHEN n LIKE '%xt%' OR n LIKE '%xonset%' THEN 'x_t' WHEN n LIKE '%lambda%' THEN 'lambda' WHEN n LIKE '%delta%' THEN 'delta' END AS symbol
-    FROM (SELECT alias_row_id, regexp_replace(lower(alias), '[^a-z0-9]', '', 'g') AS n FROM alias_sources WHERE alias IS NOT NULL)""")
+@query("""SELECT DISTINCT alias_row_id, CASE WHEN n LIKE '%rethetat%' OR n LIKE '%rethetas%' THEN 're_theta_t' WHEN n LIKE '%retr%' THEN 're_tr' WHEN n LIKE '%rex%' THEN 're_x' WHEN n LIKE '%tulocal%' OR n LIKE '%tuatxt%' OR n LIKE '%tuxt%' OR n LIKE '%tudecay%' THEN 'tu_xt'
+      WHEN n LIKE '%xend%' OR n LIKE '%xcomplete%' OR n LIKE '%xturb%' OR n = 'xe' THEN 'x_end' WHEN n LIKE '%ltr%' THEN 'l_tr' WHEN n LIKE '%xt%' OR n LIKE '%xonset%' THEN 'x_t' WHEN n LIKE '%lambda%' THEN 'lambda' WHEN n LIKE '%delta%' THEN 'delta' END AS symbol
+    FROM (SELECT alias_row_id, regexp_replace(replace(lower(alias), 'θ', 'theta'), '[^a-z0-9]', '', 'g') AS n FROM alias_sources WHERE alias IS NOT NULL)""")
 def fun15_base_symbol(spark, d):
     """FUN-15."""
     return table(spark, d, "alias_sources").where("alias is not null").select("alias_row_id", provenance.base_symbol("alias").alias("symbol")).distinct()
@@ -631,9 +660,9 @@ def ret21_adaptive(spark, d):
 
 @query()
 def fun31_length_scales(spark, d):
-    """FUN-30, FUN-31: integral scales of every embedding dimension as a record over the vectors."""
-    v = table(spark, d, "embeddings").where("embedding is not null").select("vec_id", F.posexplode("embedding").alias("dim", "u"))
-    return signal.length_scale_table(v.select(F.col("dim").cast("string").alias("key"), F.col("vec_id").alias("pos"), F.col("u").cast("double").alias("u")), 6.2, 1000.0)
+    """FUN-30, FUN-31: integral scales of the values of every event type, as records in order of event_id."""
+    e = table(spark, d, "events").where("value is not null").select(F.col("event_type").alias("key"), F.col("event_id").alias("pos"), F.col("value").cast("double").alias("u"))
+    return signal.length_scale_table(e, 6.2, 1000.0)
 
 
 @query("""WITH x AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM x)), n AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM p),
@@ -650,10 +679,11 @@ def fun08_lenient_json(spark, d):
     return table(spark, d, "events").select("event_id", parsing.json_column("props").alias("props"))
 
 
-
 def queries() -> dict[str, Query]:
+    from folioscope import queries_more  # noqa: F401 (registers its queries)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {name: SQL[name] for name in queries() if name in SQL}
