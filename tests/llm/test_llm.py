@@ -152,7 +152,7 @@ def test_furniture_beside_a_table():
     paper = scannoise.Paper("Steady flow over rough walls", ["B. Nobody"], "Annals of Flow", "10-20", 1999)
     text = "The wake of the plate was measured at\nthe lowest speed and near the wall of\n\nPage 12\nSTEADY FLOW OVER\n\nthe tunnel with a probe that had been\ncalibrated before and after the runs."
     lines = scannoise.train_lines([paper], [text, text.replace("\n\nPage 12\nSTEADY FLOW OVER\n", "")])
-    reader = scannoise.Reader({}, {}, lines, scannoise.train_pairs([], {}.get))
+    reader = scannoise.Reader({}, {}, lines, scannoise.train_pairs([], {}.get), scannoise.Mixed({}, {}))
     for whole in (f"{text}\n\n{table}", f"{table}\n\n{text}"):
         kinds, out = reader.read([whole], [paper], [[3]], repair=True)[0]
         assert kinds == {"header", "page_number"}
