@@ -86,3 +86,8 @@ def back_fit(cases: DataFrame, points: int = 400, tu_max: float = 8.0) -> DataFr
     residual = F.abs(onset_power(F.col("i") * (tu_max / points)) - F.col("re_t"))
     best = grid.where("re_t is not null").groupBy("case_id").agg(F.min_by("i", F.struct(residual, F.col("i"))).alias("i"))
     return best.select("case_id", (F.col("i") * (tu_max / points)).alias("tu_fit"))
+
+
+def smoothstep(x: Column) -> Column:
+    """FUN-32, the other form of the intermittency: 0 up to 0, 1 from 1 on, x^2 (3 - 2 x) between."""
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(x * x * (3 - 2 * x))

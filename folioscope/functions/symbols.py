@@ -53,7 +53,8 @@ SPACED_QUANTITIES = [
 
 _TOKEN = re.compile(f"{_CHARACTER}+(?:[_.-]{_CHARACTER}+)*")
 _RULES = [(re.compile(p), to) for p, to in SPACED_QUANTITIES]
-_MAY_BE_SPACED = re.compile(r"[RrTFfCMPkKγuUν∞τn]\s*[\s_~∼˜̃-]")
+#: What a text has if any of the rules can apply.
+_MAY_BE_SPACED = re.compile(r"(?i)r\s*[\u02dc\u0303~\u223c]?\s*e|t\s+u|f\s*s\s*t\s*i|c\s+[fpld]|m\s+a|p\s+r|k\s*-|[γa]\s*-\s*r|[τu]\s*_|_\s*∞")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _SPACED_WORD = re.compile(r"\b[A-Za-z](?: [A-Za-z]){3,}\b")
 _LONGEST_FIRST = sorted(LETTER, key=len, reverse=True)

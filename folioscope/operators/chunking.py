@@ -1,4 +1,4 @@
-"""Chunkers: sections, tables, markdown (CHK-01, CHK-02, CHK-07 to CHK-09, CHK-12 style roll-ups)."""
+"""Chunkers: sections, tables, markdown (CHK-01 to CHK-04, CHK-07 to CHK-10, AGG-12)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import NOISE_HEADINGS
+
 TABLE_ROWS = 25
 
 
@@ -32,39 +34,104 @@ def split_tables(tables: DataFrame, rows: int = TABLE_ROWS) -> DataFrame:
     return part.select("chunk_id", "part", F.array_join(body, "\n").alias("content"))
 
 
-def paragraphs_folded(elements: DataFrame, most: int = 1500, least: int = 200) -> DataFrame:
-    """CHK-01 children: (paper_id, section_path, n, content): elements of a section gathered in reading order; a gathered text
-    is closed when the next element would bring it over ``most`` and it has at least ``least`` characters; tables stand alone.
+# What a paragraph after an equation begins with if it explains the equation, and how one ends that leads in.
+EXPLAINS, LEADS_IN = ("where", "in which", "here", "with", "and "), (":", "as:", "follows:", "given by:")
+CODE = ("algorithm", "pseudocode", "code")
+
+
+def equation_text(formula: str, ref: str | None, before: str, after: str) -> str:
+    """CHK-03."""
+    parts = [f"Context before:\n{before[:300]}"] if before else []
+    parts.append(f"Equation {ref}:\n```latex\n{formula}\n```" if ref else f"Equation:\n```latex\n{formula}\n```")
+    return "\n\n".join(parts + ([f"Context after (variable definitions):\n{after[:300]}"] if after else []))
+
+
+def figure_text(caption: str, ref: str | None, before: str, after: str) -> str:
+    """CHK-04."""
+    parts = [f"[{ref or 'Figure'}]", f"Caption: {caption}" if caption else "", f"Preceding context: {before[:250]}" if before else "", f"Following discussion: {after[:250]}" if after else ""]
+    return "\n\n".join(x for x in parts if x)
+
 
-    A section is a bounded group; the fold is sequential by definition.
+def fold_section(elements: list[tuple[str, str, str | None]], most: int = 1500, least: int = 200, rows: int = TABLE_ROWS) -> list[tuple[str, str]]:
+    """CHK-01 for one section: (kind, content) of its elements (kind, text, reference) in reading order.
+
+    Paragraphs gather until the next one would go over ``most`` and there are at least ``least`` characters; headings close,
+    tables, figures and code stand alone; an equation takes what leads in (a short text or one that ends in a colon) and what
+    explains it (under 350 characters).
     """
+    out: list[tuple[str, str]] = []
+    held: list[str] = []
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held = [], []
-        size = 0
-
-        def close() -> None:
-            nonlocal held, size
-            if held:
-                out.append("\n\n".join(held))
-            held, size = [], 0
-
-        for r in pdf.sort_values("pos").itertuples():
-            text = r.content.strip() if isinstance(r.content, str) else ""
-            if not text:
-                continue
-            if r.element_type in ("table", "figure", "algorithm"):
+    def close() -> None:
+        if held:
+            out.append(("paragraph", "\n\n".join(held)))
+            held.clear()
+
+    taken = False
+    for i, (kind, text, ref) in enumerate(elements):
+        after = elements[i + 1][1] if i + 1 < len(elements) and elements[i + 1][0] == "paragraph" else ""
+        before = elements[i - 1][1] if i and elements[i - 1][0] == "paragraph" else ""
+        if taken:  # already part of the equation before
+            taken = False
+        elif kind == "heading":
+            close()
+        elif kind == "table":
+            close()
+            out += [("table", x) for x in table_parts(text, rows)]
+        elif kind == "equation":
+            lead = "\n\n".join(held)
+            if lead and (len(lead) < least or lead.rstrip().endswith(LEADS_IN)):
+                held.clear()
+            else:
+                lead = lead[-300:]
                 close()
-                out.append(text)
-                continue
+            taken = bool(after) and len(after) < 350 and (after.strip().lower().startswith(EXPLAINS) or len(after) < least)
+            out.append(("equation", equation_text(text, ref, lead, after if taken else after[:300])))
+        elif kind in ("caption", "figure"):
+            close()
+            out.append(("figure", figure_text(text, ref, before[-250:], after[:250])))
+        elif kind in CODE:
+            close()
+            out.append((kind, f"```{kind}\n{text}\n```"))
+        elif kind == "paragraph" and not is_noise(text):
+            size = sum(map(len, held))
             if size + len(text) > most and size >= least:
                 close()
             held.append(text)
-            size += len(text)
-        close()
-        return pd.DataFrame({"paper_id": pdf["paper_id"].iloc[0], "section_path": pdf["section_path"].iloc[0], "n": range(len(out)), "content": out}) if out else pd.DataFrame({"paper_id": [], "section_path": [], "n": [], "content": []})
+    close()
+    return out
+
 
-    return elements.groupBy("paper_id", "section_path").applyInPandas(run, "paper_id string, section_path string, n int, content string")
+def is_noise(text: str) -> bool:
+    """FLT-03 without page geometry, for one text."""
+    s = text.strip()
+    return len(s) <= 1 or s.lower() in NOISE_HEADINGS or bool(re.match(r"(?i)^(?:page\s+)?(?:\d{1,4}|[ivxlcdm]+)\s*$", s)) or (len(s) <= 12 and bool(re.match(r"^[\d\s\.,\-\+\*/()=]+$", s)))
+
+
+def table_parts(text: str, rows: int = TABLE_ROWS) -> list[str]:
+    """CHK-02 for one table."""
+    lines = [x for x in re.split(r"\r?\n", text) if x.strip()]
+    head = 2 if len(lines) > 1 and "---" in lines[1] else 1
+    if len(lines) <= rows + 2:
+        return ["\n".join(lines)] if lines else []
+    return ["\n".join(lines[:head] + lines[i : i + rows]) for i in range(head, len(lines), rows)]
+
+
+def paragraphs_folded(elements: DataFrame, most: int = 1500, least: int = 200) -> DataFrame:
+    """CHK-01 children: (paper_id, section_path, n, kind, content) of elements (paper_id, section_path, pos, element_type, content[, ref]).
+
+    A section is a bounded group, and its fold is sequential by definition; null sections are "Root", elements of no paper and
+    without text are passed over, so that no group is made of what has no place.
+    """
+    ref = F.col("ref") if "ref" in elements.columns else F.lit(None).cast("string")
+    x = elements.where("paper_id is not null and content is not null and content <> ''").select("paper_id", F.coalesce("section_path", F.lit("Root")).alias("section_path"), "pos", F.coalesce("element_type", F.lit("paragraph")).alias("element_type"), "content", ref.alias("ref"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        out = fold_section(list(zip(pdf["element_type"], pdf["content"], pdf["ref"])), most, least)
+        return pd.DataFrame({"paper_id": pdf["paper_id"].iloc[0], "section_path": pdf["section_path"].iloc[0], "n": range(len(out)), "kind": [k for k, _ in out], "content": [c for _, c in out]})
+
+    return x.groupBy("paper_id", "section_path").applyInPandas(run, "paper_id string, section_path string, n int, kind string, content string")
 
 
 def merge_orphans(pieces: DataFrame, key: str = "doc", pos: str = "pos", text: str = "content") -> DataFrame:
@@ -77,66 +144,84 @@ def merge_orphans(pieces: DataFrame, key: str = "doc", pos: str = "pos", text: s
     return x.groupBy(key, F.col("_g").cast("int").alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, text))), lambda s: s[text]), "\n\n").alias(text))
 
 
-def markdown_segments(text: str) -> list[tuple[str, str]]:
-    """CHK-07: (kind, text): display math, fences and tables as wholes, headings alone, other lines as paragraphs."""
-    out: list[tuple[str, str]] = []
+def markdown_segments(text: str) -> list[str]:
+    """CHK-07: display math, runs of table rows and fenced code as wholes, paragraphs up to a blank line or one of these."""
+    out: list[str] = []
     held: list[str] = []
-    kind = "paragraph"
+    until = ""  # what ends the block that is open
 
     def close() -> None:
-        nonlocal held, kind
-        if any(x.strip() for x in held):
-            out.append((kind, "\n".join(held).strip("\n")))
-        held, kind = [], "paragraph"
+        nonlocal held, until
+        if held:
+            out.append("\n".join(held))
+        held, until = [], ""
 
     for line in text.split("\n"):
         s = line.strip()
-        if kind in ("math", "fence"):
+        if until in ("$$", "```"):
             held.append(line)
-            if (kind == "fence" and s.startswith("```")) or (kind == "math" and s.endswith("$$")):
+            if (until == "$$" and "$$" in line) or (until == "```" and s.startswith("```")):
                 close()
-        elif s.startswith("```") or (s.startswith("$$") and not (len(s) > 3 and s.endswith("$$"))):
-            close()
-            held, kind = [line], "fence" if s[0] == "`" else "math"
-        elif s.startswith("$$"):
+            continue
+        opens = next((x for x in ("$$", "|", "```") if s.startswith(x)), "")
+        if until == "|" and opens != "|":
             close()
-            out.append(("math", line))
-        elif s.startswith("|"):
-            if kind != "table":
-                close()
-                kind = "table"
-            held.append(line)
-        elif re.match(r"#{1,6}\s", s):
+        if opens and opens != until:
             close()
-            out.append(("heading", line))
-        elif not s:
+        if not s:
             close()
+        elif opens == "$$" and s.count("$$") >= 2:
+            out.append(line)
         else:
-            if kind == "table":
-                close()
             held.append(line)
+            until = opens
     close()
     return out
 
 
 def chunk_markdown(text: str | None, target: int = 1200, most: int = 1800, least: int = 400) -> list[str]:
-    """CHK-08: chunks of markdown; a heading closes one of at least ``least`` characters, overflow and the target close too."""
+    """CHK-08, CHK-09: chunks of markdown. A heading closes one of at least ``least`` characters, overflow closes, a segment over ``most``
+    stands alone, and the target closes only at a segment like the last one; then orphans join the chunk before them."""
+    segments = markdown_segments(text or "")
     out: list[str] = []
     held: list[str] = []
     size = 0
-    for kind, seg in markdown_segments(text or ""):
-        if held and ((kind == "heading" and size >= least) or size + len(seg) > most):
-            out.append("\n\n".join(held))
-            held, size = [], 0
-        if len(seg) > most:
-            out.append(seg)
+
+    def close() -> None:
+        nonlocal held, size
+        if joined := "\n\n".join(held).strip():
+            out.append(joined)
+        held, size = [], 0
+
+    for seg in segments:
+        if (seg.split("\n", 1)[0].strip().startswith("#") and size >= least) or (held and size + len(seg) + 2 > most):
+            close()
+        if len(seg) > most and not held:
+            out.append(seg.strip())
             continue
         held.append(seg)
         size += len(seg) + 2
-        if size >= target:
-            out.append("\n\n".join(held))
-            held, size = [], 0
-    return [*out, "\n\n".join(held)] if held else out
+        if size >= target and seg == segments[-1]:
+            close()
+    close()
+    merged: list[str] = []
+    for c in out:
+        if merged and is_orphan(c):
+            merged[-1] += "\n\n" + c
+        else:
+            merged.append(c)
+    return merged
+
+
+def is_orphan(chunk: str, prose: int = 120) -> bool:
+    """CHK-09 for one chunk: it begins with display math, or has math or a table and less than ``prose`` characters beside them and headings."""
+    if chunk.lstrip().startswith("$$"):
+        return True
+    lines = chunk.splitlines()
+    if "$$" not in chunk and not any(x.strip().startswith("|") for x in lines):
+        return False
+    left = re.sub(r"(?<!\$)\$[^$\n]+?\$", " ", re.sub(r"(?s)\$\$.+?\$\$", " ", chunk))
+    return len("\n".join(x for x in left.splitlines() if not x.strip().startswith(("|", "#"))).strip()) < prose
 
 
 def markdown_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,3 +236,15 @@ def markdown_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n int, content string").withColumnRenamed("id", id_col)
+
+
+def joined_pages(pages: DataFrame) -> DataFrame:
+    """CHK-10: (paper_id, text) of (paper_id, page, text): the pages of each paper in order, each after its marker."""
+    part = F.struct("page", F.concat(F.format_string("<!-- page %d -->\n", F.col("page")), F.coalesce("text", F.lit(""))).alias("text"))
+    return pages.where("paper_id is not null and page is not null").groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def page_spans(pieces: DataFrame, text: str = "content") -> DataFrame:
+    """CHK-10: ``pieces`` with first and last page by the markers inside, and the text without them; null pages where there is none."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"<!-- page (\d+) -->"), F.lit(1)), lambda x: x.cast("int"))
+    return pieces.withColumn("first_page", F.array_min(found)).withColumn("last_page", F.array_max(found)).withColumn(text, F.trim(F.regexp_replace(text, r"<!-- page \d+ -->\n?", "")))

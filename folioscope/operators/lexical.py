@@ -109,13 +109,13 @@ def _search(queries: DataFrame, docs: DataFrame, k: int, tokenise: Callable, of_
                             s[d] += np.where(s[d] > 0, boosts[key], 0.0)
                     s = np.where(s > 0, np.maximum(np.floor(s * 1e6 + 0.5) / 1e6, 1e-9), 0.0)
                     best = _best(part.column(0).to_pylist(), s, k)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q, _, _ in best], pa.int64()), pa.array([d for _, d, _ in best], pa.string()), pa.array([v for _, _, v in best], pa.float64())], names=["query_id", "doc_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(ids[q]) for q, _, _ in best], pa.int64()), pa.array([d for _, d, _ in best], pa.string()), pa.array([v for _, _, v in best], pa.float64())], names=["query_id", "doc_id", "score"])
 
         out.append(docs.mapInArrow(run, "query_id bigint, doc_id string, score double"))
     asked.unpersist()
     if not out:
         return spark.createDataFrame([], "query_id bigint, doc_id string, score double, rank int")
-    every = reduce(DataFrame.unionByName, out)
+    every = reduce(DataFrame.unionByName, out).withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -129,7 +129,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """
     asked = lambda t: [x for x in plain_tokens(t) if x not in QUERY_PUNCTUATION]
     lower = F.lower("text").alias("text")
-    return _search(queries.select("query_id", lower), docs.select(F.col("doc_id").cast("string").alias("doc_id"), lower), k, plain_tokens, asked)
+    found = _search(queries.select("query_id", lower), docs.select(F.col("doc_id").cast("string").alias("doc_id"), lower), k, plain_tokens, asked)
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def _author_boost(paper: str | None, queries: list[list[str]]) -> np.ndarray:
@@ -148,7 +149,7 @@ def scientific_bm25(queries: DataFrame, docs: DataFrame, k: int = 30) -> DataFra
     first year of the query, gets ``AUTHOR_BOOST`` points more. Null paper_ids count as empty.
     """
     x = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat_ws(" ", F.coalesce("paper_id", F.lit("")), F.coalesce("text", F.lit(""))).alias("text"), F.col("paper_id"))
-    return _search(queries, x, k, symbols.tokens, symbols.tokens, _author_boost)
+    return _search(queries, x, k, symbols.tokens, symbols.tokens, _author_boost).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def candidate_bm25(pools: DataFrame, queries: DataFrame) -> DataFrame:

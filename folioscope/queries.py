@@ -411,8 +411,10 @@ def leaves_all(spark, d):
 
 @query()
 def chk01_chunks(spark, d):
-    """CHK-01: children of every section by the accumulator."""
-    x = leaves_all(spark, d).select("paper_id", "section_path", F.col("chunk_id").alias("pos"), "content", text.kind("element_type").alias("element_type"))
+    """CHK-01, CHK-03, CHK-04: children of every section, in reading order."""
+    c = table(spark, d, "structured_chunks").where(F.coalesce(text.kind("element_type"), F.lit("")) != "parent").select("chunk_id", "paper_id", "section_path", "content", text.kind("element_type").alias("element_type"), F.expr("try_cast(metadata['reading_order'] as int)").alias("o"))
+    one = c.groupBy("chunk_id").agg(*[F.min(x).alias(x) for x in ("paper_id", "section_path", "content", "element_type", "o")])
+    x = one.select("paper_id", "section_path", F.concat_ws("/", F.lpad(F.coalesce("o", F.lit(0)).cast("string"), 9, "0"), "chunk_id").alias("pos"), "content", "element_type")
     return chunking.paragraphs_folded(x)
 
 
@@ -680,7 +682,7 @@ def fun08_lenient_json(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from folioscope import queries_more  # noqa: F401 (registers its queries)
+    from folioscope import queries_more, queries_text  # noqa: F401 (they register their queries)
 
     return dict(QUERIES)
 

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Blank characters: space, tab and both line-break characters.
 BLANKS = " \t\r\n"
@@ -80,6 +81,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def beside(rows: DataFrame, state: DataFrame, keys: list[str], by: str, hot: int = 50_000) -> DataFrame:
+    """``rows`` joined with ``state`` (keys, n, ...), one row per key, where n tells how many of ``rows`` the key has.
+
+    Keys of more than ``hot`` rows are parted by a hash of ``by`` into parts of about that size, and their row of ``state`` is
+    repeated for each part. The list of such keys has at most one entry per ``hot`` rows; it is broadcast while it is short.
+    """
+    parts = F.ceil(F.col("n") / F.lit(hot)).cast("int")
+    few = state.where(F.col("n") > hot).select(*keys, parts.alias("_parts"))
+    few = F.broadcast(few) if few.limit(100_001).count() <= 100_000 else few
+    x = rows.join(few, keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    y = state.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return x.join(y, [*keys, "_part"]).drop("_part")
+
+
 def require(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of an input can never clash with working names."""
     return df.select(*[f"`{n}`" for n in names])
