@@ -51,7 +51,7 @@ def mostly_prose(text: Column) -> Column:
 def chunk_metadata(c: str) -> Column:
     """PRJ-02 of a chunk by itself: content_type, section, subsection, counts of math, figure and table references in order."""
     t = F.coalesce(F.col(c), F.lit(""))
-    last = lambda p: F.trim(F.coalesce(F.element_at(_numbers(t, p), -1), F.lit("")))
+    last = lambda p: F.trim(F.coalesce(F.try_element_at(_numbers(t, p), F.lit(-1)), F.lit("")))
     last_of = lambda p: F.when(F.size(_numbers(t, p)) > 0, last(p)).otherwise("")
     display, inline = F.regexp_count(t, F.lit(DISPLAY_MATH)), F.regexp_count(t, F.lit(INLINE_MATH))
     tables = t.rlike(TABLE_SEPARATOR) | t.rlike(TABLE_CAPTION)
@@ -87,7 +87,7 @@ def figure(c: str) -> Column:
 def equation_tag(c: str) -> Column:
     """PRJ-10: (body, tag) of a formula whose last line ends with its number."""
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
-    last = F.element_at(lines, -1)
+    last = F.try_element_at(lines, F.lit(-1))
     tag = F.coalesce(F.nullif(F.regexp_extract(last, EQUATION_TAG, 1), F.lit("")), F.nullif(F.regexp_extract(last, EQUATION_TAG, 2), F.lit("")))
     left = F.trim(F.regexp_replace(last, EQUATION_TAG, ""))
     body = F.trim(F.array_join(F.concat(F.slice(lines, 1, F.size(lines) - 1), F.when(left != "", F.array(left)).otherwise(F.array().cast("array<string>"))), "\n"))
