@@ -25,13 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.runtime import cut, require
+from folioscope.runtime import beside, cut, require
 
 CHUNKS, WIDTH, ERRORS, BITS = 12, 8, 1, 24
 MIN_WORDS, SIMILARITY = 30, 0.75
 BUCKET = 64
-#: Most sets whose numbers are broadcast (under 100 bytes each); salts of the join beyond it.
-SETS, SALTS = 200_000, 32
+#: Ids of one set that stay together when they are joined with it.
+HOT = 50_000
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _rng = np.random.default_rng(20240501)
@@ -189,14 +189,9 @@ def paragraphs(chunks: DataFrame) -> DataFrame:
 def prepared(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, sets, names): which id has which set (one row each, delivered twice or not), each set once, and its smallest id."""
     base = cut(word_sets(items).withColumn("row", F.monotonically_increasing_id()))
-    first = cut(base.groupBy("hi", "lo").agg(F.min("row").alias("set_id"), F.min("id").alias("name")))
+    first = cut(base.groupBy("hi", "lo").agg(F.min("row").alias("set_id"), F.min("id").alias("name"), F.count("*").alias("n")))
     sets = base.join(first.select(F.col("set_id").alias("row")), "row", "left_semi").select(F.col("row").alias("set_id"), "words")
-    own, number = base.select("id", "hi", "lo"), first.select("hi", "lo", "set_id")
-    if first.count() <= SETS:
-        members = own.join(F.broadcast(number), ["hi", "lo"])
-    else:  # one set may have a third of all ids, so these are salted
-        number = number.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        members = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(number, ["hi", "lo", "salt"])
+    members = beside(base.select("id", "hi", "lo"), first.select("hi", "lo", "n", "set_id"), ["hi", "lo"], "id", HOT)
     return cut(members.select("set_id", "id").distinct()), sets, first.select("set_id", "name")
 
 
@@ -243,10 +238,5 @@ def near_groups(items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     both = linked.select("a", "b").unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = both.join(size.select(F.col("set_id").alias("b"), "n"), "b").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("links"))
     about = size.join(links, "set_id", "left").join(roots.withColumnRenamed("node", "set_id"), "set_id").join(smallest, "root")
-    about = cut(about.select("set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("bigint").alias("n_links")))
-    if about.count() <= SETS:
-        x = members.join(F.broadcast(about), "set_id")
-    else:
-        about = about.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        x = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(about, ["set_id", "salt"])
-    return x.select("id", "class_id", "n_links")
+    about = cut(about.select("set_id", "n", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("bigint").alias("n_links")))
+    return beside(members, about, ["set_id"], "id", HOT).select("id", "class_id", "n_links")

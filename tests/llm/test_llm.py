@@ -197,6 +197,7 @@ def test_near_pairs_equal_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(f"{i:04}", t) for i, t in enumerate(texts)] + [("0001", texts[1])], "id string, text string").where("text is not null")
     for bucket in (64, 2):
         monkeypatch.setattr(neardup, "BUCKET", bucket)
+        monkeypatch.setattr(neardup, "HOT", bucket)
         assert {tuple(r) for r in neardup.near_pairs(df).collect()} == want
     groups = {r.id: (r.class_id, r.n_links) for r in neardup.near_groups(df).collect()}
     links = Counter(x for p in want for x in p)
