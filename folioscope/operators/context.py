@@ -1,4 +1,4 @@
-"""Parent expansion and token-budget packing (JON-01, JON-02, CTX-01 without its expansion items)."""
+"""Parent expansion and token-budget packing (JON-01, JON-02, CTX-01, CTX-02)."""
 
 from __future__ import annotations
 
@@ -34,26 +34,37 @@ def blank_words(text: str) -> int:
     return len(text.split())
 
 
+SEPARATOR = "\n\n---\n\n"
+
+
 def pack_context(items: DataFrame, budget: int, count: Callable[[str], int] = blank_words) -> DataFrame:
-    """CTX-01: (query_id, token_count, included_ids, omitted_ids) of items (query_id, item_id, paper_id, page, section_path, content, pos).
+    """CTX-01, CTX-02: (query_id, token_count, included_ids, omitted_ids, text) of items (query_id, item_id, paper_id, page, section_path,
+    content, pos[, expansion]).
 
     Items are admitted in order while the whole rendering fits; one that doesn't fit is skipped, later ones may still enter.
-    Blank items and repeated ids are passed over. ``items`` is the bounded evidence list of each query.
+    Expansions (cross references, siblings, parents) come after all others. Blank items and repeated ids are passed over.
+    ``items`` is the bounded evidence list of each query. Words add up, so they are counted once per item; any other counter
+    sees the whole rendering each time, as it need not be additive.
     """
+    x = items if "expansion" in items.columns else items.withColumn("expansion", F.lit(False))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks, included, omitted = [], [], []
-        for r in pdf.sort_values("pos").itertuples():
+        blocks, included, omitted, seen, held = [], [], [], set(), 0
+        for r in pdf.sort_values(["expansion", "pos"]).itertuples():
             text = (r.content or "").strip() if isinstance(r.content, str) else ""
-            if not text or r.item_id in included:
+            if not text or r.item_id in seen:
                 continue
             page = "unknown" if pd.isna(r.page) or not r.page else int(r.page)
             block = f"[Source {r.item_id}; paper={r.paper_id}; page={page}; section={r.section_path}]\n{text}"
-            if count("\n\n---\n\n".join([*blocks, block])) <= budget:
+            size = held + (1 if blocks else 0) + count(block) if count is blank_words else count(SEPARATOR.join([*blocks, block]))
+            if size <= budget:
                 blocks.append(block)
                 included.append(r.item_id)
+                seen.add(r.item_id)
+                held = size
             else:
                 omitted.append(r.item_id)
-        return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]], "token_count": [count("\n\n---\n\n".join(blocks))], "included_ids": [included], "omitted_ids": [omitted]})
+        text = SEPARATOR.join(blocks)
+        return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]], "token_count": [count(text)], "included_ids": [included], "omitted_ids": [omitted], "text": [text]})
 
-    return items.groupBy("query_id").applyInPandas(run, "query_id bigint, token_count int, included_ids array<string>, omitted_ids array<string>")
+    return x.groupBy("query_id").applyInPandas(run, "query_id bigint, token_count int, included_ids array<string>, omitted_ids array<string>, text string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,24 +12,35 @@ from folioscope.runtime import cut, spread
 
 
 def exact(rows: DataFrame, text: str, order: str) -> DataFrame:
-    """Rows with a text of their own: the first by ``order`` of each normalised text; blank texts are dropped."""
-    x = spread(rows).where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").withColumn("_hash", content_hash(text))
-    first = x.groupBy("_hash").agg(F.min(order).alias(order))
-    return x.join(first, ["_hash", order], "left_semi").drop("_hash")
+    """Rows with a text of their own: the first by ``order`` of each normalised text; blank texts are dropped.
+
+    Copies are dropped on the map side first, so a text that many rows have is never gathered.
+    """
+    x = spread(rows).where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
+    first = x.groupBy(content_hash(text).alias("_hash")).agg(F.min(F.struct(order, *[c for c in rows.columns if c != order])).alias("_r"))
+    return first.select("_r.*").select(*rows.columns)
 
 
 def similar_pairs(rows: DataFrame, key: str, words: str, threshold: float) -> DataFrame:
     """JON-04: (a, b), a < b, with Jaccard >= threshold, by prefix filtering: two such sets share one of each set's
-    |x| - ceil(t |x|) + 1 rarest members. Members are told by frequency, so prefixes are rare words."""
+    |x| - ceil(t |x|) + 1 rarest members. Members are told by frequency, so prefixes are rare words.
+
+    The join is on the word and the size in steps of the threshold, of which neighbours can match; where the shared word
+    stands in both orders bounds what is left in common (positional filter).
+    """
     x = rows.select(F.col(key).alias("k"), F.col(words).alias("w")).where(F.size("w") > 0)
     one = x.select("k", F.size("w").alias("n"), F.explode("w").alias("word"))
-    freq = one.groupBy("word").agg(F.count("*").alias("f"))
-    w = Window.partitionBy("k").orderBy("f", "word")
+    freq = one.groupBy("word").agg(F.count("*").alias("f")).where("f > 1")
+    w = Window.partitionBy("k").orderBy(F.coalesce("f", F.lit(1)), "word")
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    prefix = cut(one.join(freq, "word").withColumn("at", F.row_number().over(w)).where((F.col("at") <= keep) & (F.col("f") > 1)).select("word", "k", "n"))
-    a, b = prefix.select("word", F.col("k").alias("a"), F.col("n").alias("na")), prefix.select("word", F.col("k").alias("b"), F.col("n").alias("nb"))
-    fit = (F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
-    pairs = a.join(b, "word").where(fit).select("a", "b").distinct()
+    step = F.floor(F.log(F.col("n").cast("double")) / max(1e-6, -math.log(threshold))).cast("int") if threshold < 1 else F.col("n")
+    prefix = cut(one.join(freq, "word", "left").withColumn("at", F.row_number().over(w)).where((F.col("at") <= keep) & F.col("f").isNotNull()).select("word", "k", "n", "at", step.alias("step")))
+    a = prefix.select("word", F.col("k").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), "step")
+    b = prefix.select("word", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
+    sizes = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
+    left = 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + F.least("ia", "ib") - 1
+    fit = (F.col("a") < F.col("b")) & sizes & (left >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
+    pairs = a.join(b, ["word", "step"]).where(fit).select("a", "b").distinct()
     sets = x.select("k", "w")
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("k").alias("b"), F.col("w").alias("wb")), "b")
     return both.where(jaccard(F.col("wa"), F.col("wb")) >= threshold).select("a", "b")
@@ -54,7 +67,7 @@ def greedy_survivors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def deduplicate(rows: DataFrame, key: str, text: str, threshold: float = 0.9) -> DataFrame:
     """AGG-04: keys that survive exact and near deduplication in the order of ``key``; blank texts never survive."""
-    first = cut(spread(exact(rows.select(key, text), text, key)).select(key, word_set(text).alias("_w")))
+    first = cut(exact(rows.select(key, text), text, key).select(key, word_set(text).alias("_w")))
     pairs = similar_pairs(first, key, "_w", threshold)
     return greedy_survivors(first.select(F.col(key).alias("k")), pairs).withColumnRenamed("k", key)
 

@@ -21,14 +21,22 @@ def top_k(df: DataFrame, key: list[str], score: Column, tie: str, k: int, rank:
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
-    """RET-01: (query_id, vec_id, score, rank) by cosine; zero vectors score 0, null vectors have no row.
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat, n = column.flatten().to_numpy(zero_copy_only=False), len(column)
+    if n and len(flat) % n == 0 and (np.diff(column.offsets.to_numpy()) == len(flat) // n).all():
+        return flat.reshape(n, -1).astype(np.float64)
+    return np.array(column.to_pylist(), dtype=np.float64)
 
-    ``queries`` (query_id, embedding) against all of ``vectors`` (vec_id, embedding). Queries are taken in blocks of
-    ``block``, each as a matrix on every worker; a worker keeps its k best per query, so what is shuffled doesn't grow
-    with the product of both sides.
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4096, within: str | None = None) -> DataFrame:
+    """RET-01, RET-02: (query_id, vec_id, score, rank) by cosine; zero vectors score 0, null vectors have no row.
+
+    ``queries`` (query_id, embedding) against all of ``vectors`` (vec_id, embedding); with ``within`` only against those with the same
+    value of that column, null with none. Queries are a stated set, taken in blocks of ``block``, each as a matrix on every
+    worker; a worker keeps its k best per query (and ties), so what is shuffled doesn't grow with the product of both sides.
     """
-    asked = queries.where("embedding is not null").select("query_id", "embedding")
+    extra = [within] if within else []
+    asked = queries.where("embedding is not null").select("query_id", "embedding", *extra)
     parts = max(1, -(-asked.count() // block))
     out = None
     for i in range(parts):
@@ -38,19 +46,26 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4096)
         if not len(ids):
             continue
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        groups = {g: n for n, g in enumerate(dict.fromkeys(r[2] for r in rows))} if within else {}
+        own = np.array([groups[r[2]] if r[2] is not None else -1 for r in rows]) if within else None
+        held = vectors.sparkSession.sparkContext.broadcast((ids, q, groups, own))  # ``block`` vectors
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, q, groups, own = held.value
             for b in batches:
-                if not b.num_rows:
-                    continue
-                own = b.column(0).to_numpy()
-                v = np.array(b.column(1).to_pylist(), dtype=np.float64)
-                s = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-                s = np.floor(s * 1e6 + 0.5) / 1e6
-                take = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, take.shape[1])), pa.array(own[take].ravel()), pa.array(np.take_along_axis(s, take, 1).ravel())], names=["query_id", "vec_id", "score"])
-
-        got = vectors.where("embedding is not null").select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+                for at in range(0, b.num_rows, 1024):
+                    part = b.slice(at, 1024)
+                    keys, v = part.column(0).to_numpy(), _matrix(part.column(1))
+                    s = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
+                    s = np.floor(s * 1e6 + 0.5) / 1e6
+                    if own is not None:
+                        theirs = np.array([groups.get(g, -2) if g is not None else -2 for g in part.column(2).to_pylist()])
+                        s = np.where(own[:, None] == theirs[None, :], s, -np.inf)
+                    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(ids), -np.inf)
+                    r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(keys[c]), pa.array(s[r, c])], names=["query_id", "vec_id", "score"])
+
+        got = vectors.where("embedding is not null").select(F.col("vec_id").cast("bigint"), "embedding", *extra).mapInArrow(run, "query_id bigint, vec_id bigint, score double")
         out = got if out is None else out.unionByName(got)
     if out is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score double, rank int")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import parsing, physics, quality, symbols, text
-from folioscope.operators import chunking, context, dedup, evaluation, graph, layout, provenance, retrieval, signal, tables
+from folioscope.operators import chunking, context, dedup, evaluation, filters, graph, layout, provenance, retrieval, signal, tables
 from folioscope.plans import adaptive, retriever
 from folioscope.runtime import table
 from folioscope.sources import store
@@ -95,11 +95,10 @@ def ret01_dense(spark, d):
     SELECT * FROM (SELECT query_id, vec_id, label, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 3""")
 def ret02_within_track(spark, d):
     """RET-02, FLT-02: the filter by track (here the label) comes before scoring."""
-    v = table(spark, d, "embeddings").where("embedding is not null").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("e").alias("qe"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    score = text.round6(dot(F.col("e"), F.col("qe")) / F.sqrt(dot(F.col("e"), F.col("e")) * dot(F.col("qe"), F.col("qe"))))
-    return retrieval.top_k(v.join(q, "label").select("query_id", "vec_id", "label", score.alias("score")), ["query_id"], F.col("score"), "vec_id", 3)
+    v = table(spark, d, "embeddings")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    near = retrieval.dense(q, v, 3, within="label")
+    return near.join(q.select("query_id", "label"), "query_id").select("query_id", "vec_id", "label", "score", "rank")
 
 
 @query(f"""
@@ -237,12 +236,21 @@ def jon02_small_to_big(spark, d):
     return context.expand_parents(x.select("query_id", "chunk_id", "parent_id", F.row_number().over(w).alias("rank"), F.coalesce("there", F.lit(False)).alias("known")))
 
 
-@query()
+@query(r"""WITH RECURSIVE f AS (SELECT DISTINCT query_id, item_id, paper_id, page, section_path, content, score FROM focal_items), p AS (SELECT paper_id, section_path, min(chunk_id) AS chunk_id, min(content) AS content FROM structured_chunks WHERE lower(trim(element_type)) = 'parent' AND paper_id IS NOT NULL AND section_path IS NOT NULL GROUP BY 1, 2),
+    e AS (SELECT DISTINCT f.query_id, p.chunk_id AS item_id, p.paper_id, NULL::INT AS page, p.section_path, p.content, NULL::DOUBLE AS score FROM f JOIN p USING (paper_id, section_path)),
+    a AS (SELECT *, false AS x FROM f UNION ALL SELECT *, true FROM e), t AS (SELECT *, regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g') AS s FROM a),
+    o AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY x, score DESC NULLS LAST, item_id) AS pos, len(regexp_extract_all('[Source ' || item_id || '; paper=' || coalesce(paper_id, 'None') || '; page=' || coalesce(nullif(page, 0)::VARCHAR, 'unknown') || '; section=' || coalesce(section_path, 'None') || ']' || chr(10) || s, '\S+')) AS n FROM t WHERE s <> ''),
+    g AS (SELECT query_id, 0::BIGINT AS pos, 0::BIGINT AS held, []::VARCHAR[] AS ids FROM (SELECT DISTINCT query_id FROM t) UNION ALL
+      SELECT g.query_id, o.pos, CASE WHEN NOT list_contains(ids, o.item_id) AND held + n + (len(ids) > 0)::INT <= 512 THEN held + n + (len(ids) > 0)::INT ELSE held END, CASE WHEN NOT list_contains(ids, o.item_id) AND held + n + (len(ids) > 0)::INT <= 512 THEN list_append(ids, o.item_id) ELSE ids END FROM g JOIN o ON o.query_id = g.query_id AND o.pos = g.pos + 1)
+    SELECT query_id, max(held)::INT AS token_count, array_to_string(arg_max(ids, pos), ',') AS included FROM g GROUP BY 1""")
 def ctx01_pack(spark, d):
-    """CTX-01 without its expansion items, CTX-02: evidence of each query packed into 512 words."""
-    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "item_id")
-    x = table(spark, d, "focal_items").select("query_id", "item_id", "paper_id", "page", "section_path", "content", "score").distinct()
-    return context.pack_context(x.withColumn("pos", F.row_number().over(w)), 512)
+    """CTX-01, CTX-02: evidence of each query packed into 512 words, then the sections it comes from as far as they fit."""
+    f = table(spark, d, "focal_items").select("query_id", "item_id", "paper_id", "page", "section_path", "content", "score").distinct()
+    p = table(spark, d, "structured_chunks").where((F.lower(F.trim("element_type")) == "parent") & F.col("paper_id").isNotNull() & F.col("section_path").isNotNull()).groupBy("paper_id", "section_path").agg(F.min("chunk_id").alias("chunk_id"), F.min("content").alias("parent"))
+    e = f.select("query_id", "paper_id", "section_path").distinct().join(p, ["paper_id", "section_path"]).select("query_id", F.col("chunk_id").alias("item_id"), "paper_id", F.lit(None).cast("int").alias("page"), "section_path", F.col("parent").alias("content"), F.lit(None).cast("double").alias("score"))
+    x = f.withColumn("expansion", F.lit(False)).unionByName(e.withColumn("expansion", F.lit(True)))
+    w = Window.partitionBy("query_id").orderBy("expansion", F.desc_nulls_last("score"), "item_id")
+    return context.pack_context(x.withColumn("pos", F.row_number().over(w)), 512).select("query_id", "token_count", F.array_join("included_ids", ",").alias("included"))
 
 
 @query(r"""WITH c AS (SELECT DISTINCT chunk_id, content FROM structured_chunks WHERE content IS NOT NULL), x AS (
@@ -653,11 +661,12 @@ def ret12_plan(spark, d):
 
 @query()
 def ret21_adaptive(spark, d):
-    """RET-21: the recorded hits in rounds of ever lower scores until five chunks aren't irrelevant."""
+    """RET-21, WIN-08: the recorded hits in rounds of ever lower scores until five chunks aren't irrelevant."""
     h = hits(spark, d).withColumn("rerank", F.coalesce("rerank", F.lit(-99.0)))
     retrieve = lambda q: h.join(q.select("query_id", "least"), "query_id").where(F.col("score") >= F.col("least")).select("query_id", "chunk_id", "rerank", "label")
     q = table(spark, d, "retrieval_queries").select("query_id").distinct().withColumn("least", F.lit(0.7))
-    return adaptive.adaptive(q, retrieve, lambda x: x, widen=lambda open_queries, n: open_queries.withColumn("least", F.lit(0.7 - 0.3 * n)))
+    pool = adaptive.adaptive(q, retrieve, lambda x: x, widen=lambda open_queries, n: open_queries.withColumn("least", F.lit(0.7 - 0.3 * n)))
+    return filters.final_order(pool)
 
 
 @query()
@@ -682,7 +691,7 @@ def fun08_lenient_json(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from folioscope import queries_more, queries_text  # noqa: F401 (they register their queries)
+    from folioscope import queries_more, queries_plans, queries_text  # noqa: F401 (they register their queries)
 
     return dict(QUERIES)
 
