@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from folioscope.runtime import require
 
 TOKENIZER_DIR = "/opt/tokenizers"
-LONG, SOLO, GROUP = 512, 1 << 16, 512
+LONG, SOLO, GROUP = 256, 1 << 16, 512
 #: Fixed value: the splitting pattern of the public byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _cache: dict[str, tuple] = {}

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from folioscope.runtime import BLANKS, cut, require
 
 #: Characters of an item and bytes of a file in one range, characters of halo, ranges of a file between anchors.
-RANGE, BYTES, HALO, STRETCH = 2_048, 1 << 20, 64, 64
+RANGE, BYTES, HALO, STRETCH = 512, 1 << 20, 64, 64
 
 #: Ranks of boundaries: word, line, sentence, paragraph.
 WORD, LINE, SENTENCE, PARAGRAPH = 1, 2, 3, 4
