@@ -1,4 +1,4 @@
-"""Descriptions of chunks, figures, equations and findings (PRJ-02, PRJ-04, PRJ-06, PRJ-09, PRJ-10, PRJ-12, PRJ-13, PRJ-17, FUN-06, FUN-14, FUN-36 to FUN-38, AGG-10, AGG-16)."""
+"""Descriptions of chunks, figures, equations and findings (PRJ-02 to PRJ-04, PRJ-06, PRJ-09, PRJ-10, PRJ-12, PRJ-13, PRJ-17, FUN-06, FUN-14, FUN-36 to FUN-38, AGG-10, AGG-16)."""
 
 from __future__ import annotations
 
@@ -184,3 +184,16 @@ def labelled_values(calls: DataFrame) -> DataFrame:
     said = said.select("run", "pos", "at", F.regexp_extract("s", line, 1).alias("name"), F.replace(F.regexp_extract("s", r"=\s*(\S+)$", 1), F.lit(","), F.lit("")).try_cast("double").alias("value")).where("value is not null")
     first = said.groupBy("run", "name").agg(F.min_by("value", F.struct("pos", "at")).alias("value"))
     return own.unionByName(first.join(own, ["run", "name"], "left_anti"))
+
+
+def enclosing_heading(page: Column, chunk: Column, level: int = 2) -> Column:
+    """PRJ-03: the last heading of a level at or before the place of a chunk on its page, found by its first 80 characters without blanks;
+    the page's last heading if it isn't found, "" for a chunk without characters."""
+    mark = "#" * level
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
+    at = F.instr(bare(page), F.substring(bare(chunk), 1, 80)) - 1
+    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("last"))
+    is_heading = lambda x: x.rlike(rf"^{mark}\s+(?!#).+$")
+    title = lambda x: F.trim(F.regexp_extract(x, rf"^{mark}\s+(.+)$", 1))
+    step = lambda a, x: F.struct((a["n"] + F.length(bare(x))).alias("n"), F.when(is_heading(x) & ((at < 0) | (a["n"] <= at)), title(x)).otherwise(a["last"]).alias("last"))
+    return F.when(bare(chunk) == "", "").otherwise(F.aggregate(F.split(F.coalesce(page, F.lit("")), "\n"), start, step)["last"])

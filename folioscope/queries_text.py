@@ -238,3 +238,14 @@ def src13_tracks(spark, d):
     folder = f"{own_folder(spark)}/tracks"
     store.write_track(chunks(spark, d).select("chunk_id", F.lower(F.trim("element_type")).alias("track")).where("track is not null").distinct(), folder)
     return store.read_tracks(spark, folder, ["equation", "paragraph"]).groupBy("track").agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH {SQL_TEXTS}, p AS (SELECT c.chunk_id, coalesce(c.content, '') AS own, regexp_replace(p.content, '(?m)^# ', '## ', 'g') || chr(10) || '## Later' AS page FROM t c JOIN t p ON p.chunk_id = c.parent_id WHERE p.content IS NOT NULL),
+    f AS (SELECT *, instr(regexp_replace(page, '\s+', '', 'g'), substr(regexp_replace(own, '\s+', '', 'g'), 1, 80)) - 1 AS at_, regexp_replace(own, '\s+', '', 'g') = '' AS empty_ FROM p), l AS (SELECT chunk_id, at_, empty_, unnest(string_split(page, chr(10))) AS line, unnest(range(1, len(string_split(page, chr(10))) + 1)) AS i FROM f),
+    n AS (SELECT *, coalesce(sum(length(regexp_replace(line, '\s+', '', 'g'))) OVER (PARTITION BY chunk_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
+    SELECT chunk_id, CASE WHEN bool_or(empty_) THEN '' ELSE coalesce(trim(regexp_extract(arg_max(line, i) FILTER (regexp_matches(line, '^##\s+[^#\s].*$') AND (at_ < 0 OR before <= at_)), '^##\s+(.+)$', 1)), '') END AS heading FROM n GROUP BY 1""")
+def prj03_headings(spark, d):
+    """PRJ-03: the heading that every chunk stands under in its section, which ends with another heading."""
+    t = texts(spark, d)
+    p = t.where("content is not null").select(F.col("chunk_id").alias("parent_id"), F.concat(F.regexp_replace("content", "(?m)^# ", "## "), F.lit("\n## Later")).alias("page_text"))
+    return t.select("chunk_id", "parent_id", "content").join(p, "parent_id").select("chunk_id", projection.enclosing_heading(F.col("page_text"), F.col("content")).alias("heading"))
