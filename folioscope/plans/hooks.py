@@ -139,12 +139,15 @@ def equation_lookup(asked: DataFrame, equations: DataFrame, aliases: DataFrame,
     return by_id.unionByName(by_alias).unionByName(near)
 
 
-@F.pandas_udf("double")
-def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+def agreement(a: str | Column, b: str | Column) -> Column:
     """FUN-07: similarity of two texts by their matching blocks, in lower case without outer blanks; 0 if either is empty."""
-    one = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0
-    fold = lambda s: s.fillna("").str.strip().str.lower()
-    return pd.Series([one(x, y) for x, y in zip(fold(a), fold(b))], dtype="float64")
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        fold = lambda s: s.fillna("").str.strip().str.lower()
+        return pd.Series([difflib.SequenceMatcher(None, i, j).ratio() if i and j else 0.0 for i, j in zip(fold(x), fold(y))], dtype="float64")
+
+    return ratio(a, b)
 
 
 def reconciled(formulas: DataFrame) -> DataFrame:
