@@ -121,6 +121,20 @@ def test_capping_equals_brute_force(spark, monkeypatch, seed, states):
     assert {(r.query_id, r.chunk_id) for r in got.where("not kept").collect()} == want
     assert got.count() == len(per)
     assert capping.cap_contributors(chunks.where("false"), queries).count() == 0
+    for hot in (0, 20):  # 0: every contributor is large; 20: both kinds are there
+        monkeypatch.setattr(capping, "HOT", hot)
+        again = capping.cap_contributors(chunks, queries)
+        assert {(r.query_id, r.chunk_id) for r in again.where("not kept").collect()} == want and again.count() == len(per)
+
+
+def test_capping_broadcasts_nothing_for_small_contributors(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("bounds of contributors went to the driver")
+
+    monkeypatch.setattr(capping, "_beside", never)
+    chunks = spark.createDataFrame([(q, f"c{i}", f"p{i % 2}", float(i)) for q in range(300) for i in range(4)], "query_id bigint, chunk_id string, paper_id string, rerank_score double")
+    queries = spark.createDataFrame([(q, 1, None) for q in range(300)], "query_id bigint, paper_cap int, paper_share_pct int")
+    assert {(r.chunk_id, r.kept) for r in capping.cap_contributors(chunks, queries).collect()} == {("c0", False), ("c1", False), ("c2", True), ("c3", True)}
 
 
 # --- 4 scanned pages
