@@ -1,10 +1,12 @@
 """Problem 5: records that are versions of one text, by the share of their distinct words in common.
 
-Method: multi-index Hamming join. A text's distinct words give a signature of ``CHUNKS * WIDTH`` b-bit symbols (the
-smallest of as many hash functions, cut to ``BITS`` bits each). Signatures are split into ``CHUNKS`` chunks of ``WIDTH`` symbols, and in
-every chunk up to ``ERRORS`` symbols may differ: each way to leave one symbol out gives one index key. By the pigeonhole
-all pairs whose signatures differ in at most ``CHUNKS * (ERRORS + 1) - 1`` symbols share a key; a pair at similarity
-0.75 is missed with probability 0.004, one at 0.8 with 0.0006. Pairs that share a key are then checked exactly.
+Method: locality-sensitive hashing. A text's distinct words give ``SYMBOLS`` symbols of ``BITS`` bits (the
+smallest of as many hash functions, cut); each of ``KEYS`` index keys is made of ``WIDTH`` of them, chosen so that any two keys have
+few in common. A pair at similarity 0.75 shares no key with probability 0.003, one at 0.78 with 0.0002; two texts at 0.2, as texts
+on one subject are, share one with probability 0.00005. What shares a key goes on only if the sizes allow the similarity and single
+bits of the symbols agree as often as those of similar sets do, first on the ``NEAR`` bits that fit beside a key, then, for distinct
+pairs, on ``FAR`` others (a pair at 0.75 is lost by either with probability 0.0002). So words are moved for few pairs
+only, and no more of them as a collection grows than pairs with bits alike. These pairs are checked exactly.
 
 Texts with the same set of words are collapsed before, by a 128-bit hash of the words, and one of them stands for all, so
 exact copies cost one signature and no list of copies is ever put together; buckets of more than
@@ -25,9 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.runtime import beside, cut, require
+from folioscope.runtime import beside, cut, release, require
 
-CHUNKS, WIDTH, ERRORS, BITS = 12, 8, 1, 24
+SYMBOLS, KEYS, WIDTH, BITS = 240, 96, 9, 24
+#: Bits beside a key and bits of a sketch, with how many of them must agree; steps of sizes beside a key (each 5 % more, 64 in all and more).
+NEAR, NEAR_LEAST, FAR, FAR_LEAST, STEP = 17, 10, 64, 46, 1.05
 MIN_WORDS, SIMILARITY = 30, 0.75
 BUCKET = 64
 #: Ids of one set that stay together when they are joined with it.
@@ -35,9 +39,11 @@ HOT = 50_000
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _rng = np.random.default_rng(20240501)
-_MUL = _rng.integers(1, 2**63, CHUNKS * WIDTH, dtype=np.uint64) | np.uint64(1)
-_ADD = _rng.integers(0, 2**63, CHUNKS * WIDTH, dtype=np.uint64)
-_MIX = _rng.integers(1, 2**63, CHUNKS * WIDTH, dtype=np.uint64) | np.uint64(1)
+_MUL = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
+_ADD = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
+_MIX = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
+#: The symbols of each key: every symbol is in about as many keys, as orders of all symbols are cut into keys.
+_DESIGN = np.concatenate([_rng.permutation(SYMBOLS)[: SYMBOLS // WIDTH * WIDTH].reshape(-1, WIDTH) for _ in range(-(-KEYS // (SYMBOLS // WIDTH)))])[:KEYS]
 
 
 @lru_cache(maxsize=1 << 18)
@@ -50,12 +56,12 @@ def word_set(text: str) -> list[str]:
     return sorted(set(_WORD.findall(text.lower())))
 
 
-def signatures(sets: list[list[int]]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], symbols: int = SYMBOLS) -> np.ndarray:
     """One row of symbols for each set of word hashes (none may be empty)."""
-    flat = np.array([h for s in sets for h in s], dtype=np.uint64)
+    flat = np.concatenate(sets).astype(np.uint64)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    out = np.empty((len(sets), CHUNKS * WIDTH), dtype=np.uint64)
-    for i in range(CHUNKS * WIDTH):
+    out = np.empty((len(sets), symbols), dtype=np.uint64)
+    for i in range(symbols):
         x = flat * _MUL[i] + _ADD[i]
         x ^= x >> np.uint64(29)
         out[:, i] = np.minimum.reduceat(x * _MIX[i], starts) >> np.uint64(64 - BITS)
@@ -63,14 +69,23 @@ def signatures(sets: list[list[int]]) -> np.ndarray:
 
 
 def index_keys(sig: np.ndarray) -> np.ndarray:
-    """CHUNKS * WIDTH keys a row: every chunk with one of its symbols left out."""
+    """KEYS keys a row."""
     x = (sig + np.uint64(1)) * _MIX[None, :]
     x ^= x >> np.uint64(31)
     x *= _MUL[None, :]
-    total = x.reshape(len(sig), CHUNKS, WIDTH).sum(axis=2, dtype=np.uint64)
-    keys = total.repeat(WIDTH, axis=1) - x  # the sum over the chunk without symbol i
+    keys = x[:, _DESIGN].sum(axis=2, dtype=np.uint64)
     keys ^= keys >> np.uint64(32)
-    return keys * _MIX[None, :] + _ADD[None, :]
+    return keys * _MIX[None, :KEYS] + _ADD[None, :KEYS]
+
+
+def bits(sig: np.ndarray, n: int) -> np.ndarray:
+    """The lowest bits of the first ``n`` symbols as one number a row."""
+    return ((sig[:, :n] & np.uint64(1)) << np.arange(n, dtype=np.uint64)[None, :]).sum(axis=1, dtype=np.uint64)
+
+
+def size_step(n: np.ndarray) -> np.ndarray:
+    """Sizes in steps that fit seven bits; the last step is open."""
+    return np.clip(np.floor(np.log(np.maximum(n, 1) / MIN_WORDS) / np.log(STEP)), 0, 127).astype(np.uint64)
 
 
 def word_sets(items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -94,25 +109,52 @@ def word_sets(items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return items.select("id", "text").mapInArrow(run, "id string, hi bigint, lo bigint, words array<int>")
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Up to 512 set_ids with their word hashes, of rows (set_id, words)."""
+    for b in batches:
+        own = b.column(0).to_numpy()
+        flat, at = b.column(1).flatten().to_numpy().view(np.uint32), b.column(1).offsets.to_numpy()
+        at = at - at[0] if len(at) else at
+        for k in range(0, len(own), 512):
+            n = min(512, len(own) - k)
+            yield own[k : k + n], [flat[at[i] : at[i + 1]] for i in range(k, k + n)]
+
+
 def _keys(sets: DataFrame) -> DataFrame:
+    """(key, set_id): a key's 40 bits with the set's size step and ``NEAR`` bits below them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            own = b.column(0).to_numpy()
-            flat, at = b.column(1).flatten().to_numpy().view(np.uint32).astype(np.uint64), b.column(1).offsets.to_numpy()
-            at = at - at[0]
-            for k in range(0, len(own), 512):
-                n = min(512, len(own) - k)
-                part = [flat[at[i] : at[i + 1]] for i in range(k, k + n)]
-                keys = (index_keys(signatures(part)) >> np.uint64(24)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(own[k : k + n], keys.shape[1]))], names=["key", "set_id"])
+        for own, part in _parts(batches):
+            sig = signatures(part)
+            beside_ = size_step(np.array([len(s) for s in part])) << np.uint64(NEAR) | bits(sig, NEAR)
+            keys = index_keys(sig) >> np.uint64(24) << np.uint64(24) | beside_[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(own, KEYS))], names=["key", "set_id"])
 
     return sets.select("set_id", "words").mapInArrow(run, "key bigint, set_id bigint")
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(set_id, size, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, part in _parts(batches):
+            sketch = bits(signatures(part, FAR), FAR).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([len(s) for s in part], pa.int32()), pa.array(sketch)], names=["set_id", "size", "sketch"])
+
+    return sets.select("set_id", "words").mapInArrow(run, "set_id bigint, size int, sketch bigint")
+
+
+def _fits(similarity: float):
+    """Whether two sets may have the similarity, by what stands beside their keys."""
+    apart = int(-np.log(similarity) / np.log(STEP)) + 1 if similarity > 0 else 127
+    # The bits were set for 0.75 and above; below, they tell nothing.
+    least, mask = NEAR_LEAST if similarity >= SIMILARITY else 0, (1 << NEAR) - 1
+    return lambda x, y: abs((x >> NEAR) - (y >> NEAR)) <= apart and ((x ^ y) & mask).bit_count() <= NEAR - least
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], fits=_fits(SIMILARITY)) -> Iterator[pa.RecordBatch]:
     """Rows (key, set_id) arrive sorted: pairs of the small buckets, and blocks of the large ones (key, block number, ids)."""
+    low = (1 << 24) - 1
 
     def out(a: list, b: list, blocks: list[tuple]) -> pa.RecordBatch:
         n, m = len(a), len(blocks)
@@ -126,15 +168,18 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close(a: list, b: list, blocks: list[tuple]) -> None:
         nonlocal held, no
         if no:
-            blocks.append((held_key, no, held))
+            blocks.append((held_key, no, [i for i, _ in held]))
         else:
-            for i in range(len(held) - 1):
-                a += [held[i]] * (len(held) - 1 - i)
-                b += held[i + 1 :]
+            for k, (i, x) in enumerate(held):
+                for j, y in held[k + 1 :]:
+                    if i != j and fits(x, y):
+                        a.append(i)
+                        b.append(j)
         held, no = [], 0
 
     for batch in batches:
-        keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        whole, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        keys = whole >> 24
         if not len(keys):
             continue
         a, b, blocks = [], [], []
@@ -146,9 +191,9 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key != held_key:
                 close(a, b, blocks)
                 held_key = key
-            held += ids[s:e].tolist()
+            held += zip(ids[s:e].tolist(), (whole[s:e] & low).tolist())
             while len(held) > BUCKET:
-                blocks.append((key, no, held[:BUCKET]))
+                blocks.append((key, no, [i for i, _ in held[:BUCKET]]))
                 held, no = held[BUCKET:], no + 1
         if a or blocks:
             yield out(a, b, blocks)
@@ -157,21 +202,30 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(a, b, blocks)
 
 
-def candidate_pairs(sets: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of set_ids that share an index key."""
-    keys = _keys(sets)
-    found = cut(keys.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(_buckets, "a bigint, b bigint, key bigint, no int, ids array<bigint>"))
+def candidate_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct (a, b), a < b, of set_ids that share an index key and may have the similarity by size and bits."""
+    key, fits = F.shiftright("key", 24), _fits(similarity)
+    found = cut(_keys(sets).repartition(key).sortWithinPartitions(key, "set_id").mapInArrow(lambda x: _buckets(x, fits), "a bigint, b bigint, key bigint, no int, ids array<bigint>"))
+    release(found.sparkSession)
     small = found.where("a is not null").select("a", "b")
     blocks = found.where("key is not null").select("key", "no", "ids")
     other = blocks.select("key", F.col("no").alias("no2"), F.col("ids").alias("ids2"))
     met = blocks.join(other, "key").where("no <= no2")
     large = met.repartition("key", "no", "no2").select(F.explode("ids").alias("a"), "ids2").select("a", F.explode("ids2").alias("b")).where("a < b")
-    return small.unionByName(large).where("a <> b").distinct()
+    # Distinct pairs are told where the sets of a are, so pairs move once.
+    pairs = small.unionByName(large).where("a <> b").repartition("a").distinct()
+    sketches = cut(_sketches(sets))
+    x = pairs.join(sketches.select(F.col("set_id").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa")).hint("merge"), "a")
+    x = x.join(sketches.select(F.col("set_id").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sb")).hint("merge"), "b")
+    sizes = (F.col("na") >= similarity * F.col("nb") - 1e-9) & (F.col("nb") >= similarity * F.col("na") - 1e-9)
+    alike = F.lit(FAR) - F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) >= (FAR_LEAST if similarity >= SIMILARITY else 0)
+    return x.where(sizes & alike).select("a", "b")
 
 
 def similar_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity) of set_ids at or over the similarity; ``sets`` has one row per set_id."""
-    pairs = candidate_pairs(sets)
+    pairs = cut(candidate_pairs(sets, similarity))
+    release(pairs.sparkSession)
     x = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("words").alias("wa")), "a")
     x = x.join(sets.select(F.col("set_id").alias("b"), F.col("words").alias("wb")), "b")
     both = F.size(F.array_intersect("wa", "wb")).cast("double")
