@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,26 +23,59 @@ def exact(rows: DataFrame, text: str, order: str) -> DataFrame:
     return first.select("_r.*").select(*rows.columns)
 
 
+def _levels(t: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes in intervals [l, l / t], as the ends of the intervals up to ``most``, and the most members in which two sets with
+    at least the similarity may differ if the larger one is in the interval."""
+    ends = []
+    while not ends or ends[-1] < most:
+        ends.append(int(((ends[-1] if ends else 0) + 1) / t + 1e-9))
+    ends.append(int((ends[-1] + 1) / t + 1e-9))
+    return np.array(ends), np.floor(2 * np.array(ends) * (1 - t) / (1 + t) + 1e-9).astype(np.int64)
+
+
+def _part_keys(sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, k, n): for each set (k, w as hashes) the hashes of its parts, by the two intervals that a partner may be in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
+                flat, off = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).offsets.to_numpy()
+                n = np.diff(off)
+                ends, differ = _levels(threshold, int(n.max()))
+                x = flat * np.uint64(0x9E3779B97F4A7C15)
+                x ^= x >> np.uint64(32)
+                mixed = (x * np.uint64(0xBF58476D1CE4E5B9)) ^ (flat >> np.uint64(7))
+                level = np.searchsorted(ends, n)
+                for up in (0, 1):
+                    parts = differ[level + up] + 1
+                    first = np.cumsum(parts) - parts
+                    place = np.repeat(first, n) + (x % np.repeat(parts, n).astype(np.uint64)).astype(np.int64)
+                    sums = np.zeros(int(parts.sum()), dtype=np.uint64)
+                    np.add.at(sums, place, mixed)
+                    own = np.repeat(np.arange(len(n)), parts)
+                    number = np.arange(len(own)) - first[own]
+                    key = (sums ^ (sums >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + (number * 1_000_003 + (level + up)[own] * 7_919_000_009).astype(np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).take(pa.array(own)), pa.array(n[own], pa.int32())], names=["key", "k", "n"])
+
+    return sets.mapInArrow(run, f"key bigint, k {sets.schema['k'].dataType.simpleString()}, n int")
+
+
 def similar_pairs(rows: DataFrame, key: str, words: str, threshold: float) -> DataFrame:
-    """JON-04: (a, b), a < b, with Jaccard >= threshold, by prefix filtering: two such sets share one of each set's
-    |x| - ceil(t |x|) + 1 rarest members. Members are told by frequency, so prefixes are rare words.
+    """JON-04: (a, b), a < b, with Jaccard >= threshold (over 0), by partition: two such sets differ in at most
+    d = (1 - t) / (1 + t) (|x| + |y|) members, so if all members there are fall into d + 1 parts by their hash, both sets are the same in one part.
 
-    The join is on the word and the size in steps of the threshold, of which neighbours can match; where the shared word
-    stands in both orders bounds what is left in common (positional filter).
+    d is that of the largest size of an interval [l, l / t], of which neighbours can match, so each set is parted twice. A part has
+    about (1 + t) / (2 - 2 t) members, all of which two sets must share to meet, so frequent members alone bring none together.
     """
     x = rows.select(F.col(key).alias("k"), F.col(words).alias("w")).where(F.size("w") > 0)
-    one = x.select("k", F.size("w").alias("n"), F.explode("w").alias("word"))
-    freq = one.groupBy("word").agg(F.count("*").alias("f")).where("f > 1")
-    w = Window.partitionBy("k").orderBy(F.coalesce("f", F.lit(1)), "word")
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    step = F.floor(F.log(F.col("n").cast("double")) / max(1e-6, -math.log(threshold))).cast("int") if threshold < 1 else F.col("n")
-    prefix = cut(one.join(freq, "word", "left").withColumn("at", F.row_number().over(w)).where((F.col("at") <= keep) & F.col("f").isNotNull()).select("word", "k", "n", "at", step.alias("step")))
-    a = prefix.select("word", F.col("k").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), "step")
-    b = prefix.select("word", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-    sizes = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
-    left = 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + F.least("ia", "ib") - 1
-    fit = (F.col("a") < F.col("b")) & sizes & (left >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
-    pairs = a.join(b, ["word", "step"]).where(fit).select("a", "b").distinct()
+    if threshold > 1:
+        return x.select(F.col("k").alias("a"), F.col("k").alias("b")).where("false")
+    keys = _part_keys(x.select("k", F.transform("w", lambda v: F.xxhash64(v)).alias("w")), threshold)
+    a = keys.select("key", F.col("k").alias("a"), F.col("n").alias("na"))
+    b = keys.select("key", F.col("k").alias("b"), F.col("n").alias("nb"))
+    sizes = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
+    pairs = cut(a.join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct())
     sets = x.select("k", "w")
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("k").alias("b"), F.col("w").alias("wb")), "b")
     return both.where(jaccard(F.col("wa"), F.col("wb")) >= threshold).select("a", "b")
@@ -66,8 +101,16 @@ def greedy_survivors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def deduplicate(rows: DataFrame, key: str, text: str, threshold: float = 0.9) -> DataFrame:
-    """AGG-04: keys that survive exact and near deduplication in the order of ``key``; blank texts never survive."""
-    first = cut(exact(rows.select(key, text), text, key).select(key, word_set(text).alias("_w")))
+    """AGG-04: keys that survive exact and near deduplication in the order of ``key``; blank texts never survive.
+
+    Of texts with the same words only the first can survive, as what it is like the others are like too, so only one of them goes on.
+    """
+    if threshold <= 1:
+        x = spread(rows.select(key, text)).where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select(F.col(key).alias("k"), word_set(text).alias("w"))
+        one = x.groupBy(F.sha2(F.concat_ws(" ", F.array_sort("w")), 256).alias("_hash")).agg(F.min("k").alias("k"), F.first("w").alias("w"))
+        first = cut(one.select(F.col("k").alias(key), F.col("w").alias("_w")))
+    else:
+        first = cut(exact(rows.select(key, text), text, key).select(key, word_set(text).alias("_w")))
     pairs = similar_pairs(first, key, "_w", threshold)
     return greedy_survivors(first.select(F.col(key).alias("k")), pairs).withColumnRenamed("k", key)
 

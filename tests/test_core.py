@@ -88,6 +88,16 @@ def test_similar_pairs_equal_brute_force(spark):
     assert {(r.a, r.b) for r in dedup.similar_pairs(df, "k", "w", 0.5).collect()} == want
 
 
+def test_frequent_words_bring_no_pairs_together(spark):
+    random.seed(6)
+    sets = [random.sample(range(200), 60) for _ in range(400)]  # no two alike, and no rare word
+    sets.append(sets[0][:58] + [901, 902])
+    df = spark.createDataFrame([(i, [str(x) for x in s]) for i, s in enumerate(sets)], "k int, w array<string>")
+    keys = dedup._part_keys(df.select("k", F.transform("w", lambda v: F.xxhash64(v)).alias("w")), 0.9)
+    assert keys.join(keys.select("key", F.col("k").alias("b")), "key").where("k < b").select("k", "b").distinct().count() < 100
+    assert [tuple(r) for r in dedup.similar_pairs(df, "k", "w", 0.9).collect()] == [(0, 400)]
+
+
 def test_pack_skips_what_does_not_fit(spark):
     items = [(1, "a", "p", None, "s", "one two", 1), (1, "b", "p", 3, "s", " ".join(["w"] * 90), 2), (1, "c", "p", 3, "s", "three", 3), (1, "d", "p", 3, "s", " ", 4), (1, "a", "p", 3, "s", "again", 5)]
     df = spark.createDataFrame(items, "query_id bigint, item_id string, paper_id string, page int, section_path string, content string, pos int")
