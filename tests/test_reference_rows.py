@@ -94,6 +94,26 @@ def test_bm25_with_several_blocks(spark, monkeypatch):
     assert lexical.bm25(q.where("false"), docs).count() == 0 and lexical.bm25(q, docs.where("false")).count() == 0
 
 
+def test_bm25_reads_texts_once_and_keeps_the_best_of_a_task(spark, monkeypatch, tmp_path):
+    import pathlib
+
+    folder = str(tmp_path)
+
+    def counted(text):
+        with (pathlib.Path(folder) / str(hash(text))).open("a") as f:
+            f.write("x")
+        return text.split()
+
+    docs = spark.createDataFrame([(f"{i:03}", "wall " * (i % 5 + 1) + f"d{i}") for i in range(60)], "doc_id string, text string").repartition(4)
+    q = spark.createDataFrame([(i, f"wall d{i}") for i in range(9)], "query_id bigint, text string")
+    plain = sorted(map(tuple, lexical._search(q, docs, 3, str.split, str.split).collect()))
+    monkeypatch.setattr(lexical, "BLOCK", 2)
+    monkeypatch.setattr(lexical, "ROWS", 2)
+    monkeypatch.setattr(lexical, "PASS", 2)
+    assert sorted(map(tuple, lexical._search(q, docs, 3, counted, str.split).collect())) == plain and len(plain) == 27
+    assert sum(f.stat().st_size for f in tmp_path.iterdir()) == 60
+
+
 def test_scientific_bm25_names_authors(spark):
     docs = spark.createDataFrame([("1", "mayle_roberts_1991", "onset of flow"), ("2", "other_2001", "onset of flow"), ("3", None, "wake")], "doc_id string, paper_id string, text string")
     q = spark.createDataFrame([(1, "onset by mayle 1991"), (2, "onset")], "query_id bigint, text string")
