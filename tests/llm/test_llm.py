@@ -175,6 +175,16 @@ def test_furniture_beside_a_table():
     assert reader.read([table], [paper], [[3]], repair=True)[0] == (set(), table)
 
 
+def test_all_confusions_count(spark, monkeypatch):
+    counts = scannoise.word_counts(spark.read.parquet(f"{SF}/structured_chunks.parquet")).where("not word like '\0%'")
+    one = rows(scannoise.corrections(counts))
+    monkeypatch.setattr(scannoise, "USUAL", 3)  # the others come by a join
+    assert one and [r[:2] for r in rows(scannoise.corrections(counts))] == [r[:2] for r in one]
+    pairs = spark.createDataFrame([("cat", 1, "eat", 9), ("cxt", 1, "ext", 9), ("abcdef", 1, "ghijkl", 9)], "word string, n bigint, better string, m bigint")
+    every = spark.createDataFrame([("e", "c", 7)], "printed string, read string, n bigint")
+    assert [(r.word, r.least) for r in scannoise._with_least(pairs, every).orderBy("word").collect()] == [("cat", 7), ("cxt", 7)]
+
+
 def test_long_headers():
     journal = "Proceedings of the Streak Colloquium"
     title = "Steady flow over rough walls with slots of several widths that are closed one after the other at low speed"
