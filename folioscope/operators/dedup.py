@@ -76,7 +76,9 @@ def similar_pairs(rows: DataFrame, key: str, words: str, threshold: float) -> Da
     b = keys.select("key", F.col("k").alias("b"), F.col("n").alias("nb"))
     sizes = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
     pairs = cut(a.join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct())
-    sets = x.select("k", "w")
+    # Only sets that have a candidate are moved with their words.
+    met = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+    sets = cut(x.select("k", "w").join(met, "k", "left_semi"))
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("k").alias("b"), F.col("w").alias("wb")), "b")
     return both.where(jaccard(F.col("wa"), F.col("wb")) >= threshold).select("a", "b")
 
