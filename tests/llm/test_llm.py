@@ -398,6 +398,78 @@ def test_unpunctuated_text_is_split(spark):
     assert [texts[200][s:e] for s, e in got] == ["The probe held near the wall", "The plate grew near the tunnel", "The wall moved near the probe"]
 
 
+def test_lost_signs_are_found_in_text_with_signs(spark):
+    """Every position between two words is scored, not only those after a terminator."""
+    rng = random.Random(6)
+    nouns, verbs = "tunnel plate wall probe layer".split(), "held moved grew".split()
+    one = lambda: f"The {rng.choice(nouns)} {rng.choice(verbs)} near the {rng.choice(nouns)}"
+    texts = [" ".join(one() + "." for _ in range(5)) + " (The probe was cold.)" * (i % 3 == 0) for i in range(200)]
+    more = [
+        "The probe held near the wall. The plate grew near the tunnel The wall moved near the probe. The layer held near the wall.",
+        "The probe held near the wall. The plate grew near the tunnel (The probe was cold.) The layer held near the wall.",
+        "The probe held near the wall. The wall moved “near the tunnel The plate grew” near the wall.",
+    ]
+    wanted = [
+        ["The probe held near the wall.", "The plate grew near the tunnel", "The wall moved near the probe.", "The layer held near the wall."],
+        ["The probe held near the wall.", "The plate grew near the tunnel", "(The probe was cold.)", "The layer held near the wall."],
+        ["The probe held near the wall.", "The wall moved “near the tunnel The plate grew” near the wall."],
+    ]
+    docs = spark.createDataFrame(list(enumerate([*texts, *more])), "doc_id bigint, text string")
+    got = {}
+    for r in sentences.sentence_spans(docs).where("doc_id >= 200").collect():
+        got.setdefault(r.doc_id - 200, []).append((r.sent_start, r.sent_end))
+    for i, text in enumerate(more):
+        assert [text[s:e] for s, e in sorted(got[i])] == wanted[i]
+
+
+def test_posteriors_of_all_gaps():
+    """The posteriors of many sentences at once are those of adding up all sets of events."""
+    rng = random.Random(7)
+    words, edge = "abcd", sentences.EDGE
+    plain = sentences.Unpunctuated(set(words))
+    for _ in range(60):
+        s = [edge, *(rng.choice(words) for _ in range(rng.randrange(1, 5))), edge]
+        for v, w in zip(s, s[1:]):
+            plain.c2[v, w] += 1
+            plain.n2[v] += 1
+            plain.c1[w] += 1
+        plain.c3[edge, s[1], s[2]] += 1
+        plain.c3[(s[-3], s[-2], edge)] += s[-3] != edge
+    plain.n1, plain.k1 = plain.c1.total(), len(plain.c1)
+    plain.t2.update(v for v, _ in plain.c2)
+    for (u, v, w), n in plain.c3.items():
+        plain.n3[u, v] += n
+        plain.t3[u, v] += 1
+    texts = [" ".join(rng.choice(words + "x") for _ in range(n)) for n in (1, 2, 9, 5, 3, 1, 6)] + ["a b (c d a) b c", "a b. c d"]
+    rows = [(t, *sentences.scan(t)[:4]) for t in texts]
+    gaps = plain.read(rows, [[0] for _ in texts])
+    got = iter(plain.boundaries(gaps).tolist())
+    opened = plain.tables["opening"]
+    for t, row in zip(texts, rows):
+        tok = [plain.shape(x, "w") for x in t.replace(".", "").replace("(", "").replace(")", "").split()]
+        share = [1.0] * (len(tok) - 1)
+        if "(" in t:
+            share = [1.0, opened, 0.0, 0.0, 1.0, 1.0]
+        if "." in t:
+            share = [sentences.LOST, 0.0, sentences.LOST]  # after the terminator the first model decides
+        total, at = 0.0, [0.0] * len(share)
+        for events in range(1 << len(share)):
+            p, after = 1.0, True
+            for i, x in enumerate(share):
+                u, v, w = edge if after else tok[i - 1], tok[i], tok[i + 1]
+                e = plain.edge(u, v)
+                e = e * x / (e * x + 1 - e)
+                start = plain.c2[edge, w] + plain.t2[edge] * (plain.c1[w] + 0.5) / (plain.n1 + 0.5 * (plain.k1 + 1))
+                here = bool(events >> i & 1)
+                p *= e * start / (plain.n2[edge] + plain.t2[edge]) if here else (1 - e) * (plain.p(edge, v, w) if after else plain._p2(v, w))
+                after = here
+            total += p
+            at = [a + p * (events >> i & 1) for i, a in enumerate(at)]
+        for a in at:
+            assert next(got) == pytest.approx(a / total, rel=1e-4, abs=1e-9), t
+    assert next(got, None) is None
+
+
 def test_thai_blanks_are_decided_by_the_model(spark):
     docs = spark.createDataFrame([(i, f"การไหลแบบปั่นป่วน ผนังเรียบ {i} มม ท่อยาวมาก และ Tunnel นี้") for i in range(40)], "doc_id bigint, text string")
     t = {r.doc_id: r.text for r in docs.collect()}
