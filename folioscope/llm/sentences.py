@@ -449,6 +449,7 @@ class Chunks(dict):
 
     def __init__(self, ids: dict[str, int], shape):
         self.ids, self.shape = ids, shape
+        self.letters: dict[str, tuple[int, int]] = {}  # number and kind of letters of unspaced scripts
         self.reset()
 
     def reset(self) -> None:
@@ -458,24 +459,31 @@ class Chunks(dict):
             self._add(x, [(code, 0, 0)])
 
     def _add(self, chunk: str, found: list[tuple[int, int, int]]) -> int:
-        for item, kind, offset in found:
-            self.items.append(item)
-            self.kinds.append(kind)
-            self.offsets.append(offset)
+        for column, x in zip((self.items, self.kinds, self.offsets), zip(*found)):
+            column.extend(x)
         self.ends.append(len(self.items))
         self[chunk] = n = len(self)
         return n
 
     def __missing__(self, chunk: str) -> int:
-        found, signs, ids = [], "", self.ids
+        found, signs, letters = [], "", self.letters
         for m in _TOKEN.finditer(chunk):
-            t, k, at = _token(m)
+            k = m.lastgroup
             if k in "tp":
+                t = m.group()
                 signs += "\u037e" if k == "t" and t == ";" else t  # a Greek question mark, not a semicolon
                 continue
-            found += _signs(signs)
-            signs = ""
-            found.append((ids[self.shape(t, k)], (1 + bool(_THAI.match(t))) if k == "u" else 0, at))
+            if signs:
+                found += _signs(signs)
+                signs = ""
+            if k == "u":
+                x = letters.get(t := m.group())
+                if x is None:
+                    x = letters[t] = self.ids[self.shape(t, k)], 1 + bool(_THAI.match(t))
+                found.append((*x, m.start()))
+            else:
+                t, k, at = _token(m)
+                found.append((self.ids[self.shape(t, k)], 0, at))
         return self._add(chunk, found + _signs(signs))
 
     def read(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
