@@ -185,6 +185,64 @@ def test_all_confusions_count(spark, monkeypatch):
     assert [(r.word, r.least) for r in scannoise._with_least(pairs, every).orderBy("word").collect()] == [("cat", 7), ("cxt", 7)]
 
 
+def test_long_keys_without_a_word_of_their_length_are_not_cut_into_grams(spark, monkeypatch):
+    long = "boundarylayertransition" * 3
+    keys = [f"{i:064x}" * 20 for i in range(48879, 48884)]  # ...beef and so on
+    counts = spark.createDataFrame([(long, 90), (long.replace("ti", "tl", 1), 2), ("turbulent", 90), ("turbulcnt", 2), *((k, 1) for k in keys)], "word string, n bigint")
+    cut_up, sharing = [], scannoise._sharing
+
+    def recorded(words, better, name):
+        if name == "id":
+            cut_up.extend(r.size for r in words.select("size").collect())
+        return sharing(words, better, name)
+
+    monkeypatch.setattr(scannoise, "_sharing", recorded)
+    assert rows(scannoise.candidates(counts)) == sorted([(long.replace("ti", "tl", 1), 2, long, 90), ("turbulcnt", 2, "turbulent", 90)])
+    assert cut_up == [len(long)] * 2
+
+
+_SCANNED = st.text(alphabet="aeOlSI015.,-/_ \n\t\r|¬=~–“é٣\x00\x85\x1c(", max_size=60)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(_SCANNED, max_size=4))
+def test_tokens_hold_what_the_patterns_find(texts):
+    got = scannoise.tokens_of(texts).to_pylist()
+    assert len(got) == len(texts)
+    for text, tokens in zip(texts, got):
+        for pattern in (scannoise._WORD, scannoise._WITH_DIGIT, scannoise._NUMBER, scannoise._CODE_READ):
+            assert [m for x in tokens for m in pattern.findall(x)] == pattern.findall(text)
+        assert any(scannoise._MIXED_TOKEN.search(x) for x in tokens) == bool(scannoise._MIXED_TOKEN.search(text))
+        assert scannoise.may_break(text) or scannoise._BREAK.sub("", text) == text
+        assert scannoise.may_break(text) or not any(scannoise._LAST.search(x) for x in text.replace("\r", "").split("\n")[:-1])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aSIxvpagVol 12().,|-–éс", max_size=30))
+def test_lines_with_features_may_be_furniture(line):
+    paper = scannoise.Paper("Steady flow", ["B. Nobody"], "Annals of Flow", "10-20", 1999)
+    assert scannoise.may_be_furniture(line, paper) or scannoise.line_features(line, None, None, 90, paper, [3]) is None
+
+
+def test_texts_read_together_have_what_they_have_alone(monkeypatch):
+    texts = ["wail 0.O5", "", "the “wail” of A-7 and fl0w", "a" * 40, "wail/wall", "x1y wall"]
+    reader = scannoise.Reader({"wail": "wall"}, {}, None, None)
+    whole = reader._looks(texts)
+    assert {i: {w for x in found for w in x[0]} for i, found in whole.items()} == {0: {"wail"}, 2: {"wail"}, 4: {"wail"}, 5: set()}
+    monkeypatch.setattr(scannoise, "TOGETHER", 12)
+    assert [x for _, run in scannoise.together(texts) for x in run] == texts and [a for a, _ in scannoise.together(texts)] == [0, 2, 3, 4, 5]
+    assert reader._looks(texts) == whole
+
+
+def test_counts_are_those_of_whole_texts(spark):
+    texts = ["wall bound-\nary 0.O5 A-7", "wall-\nand “wall” bound- \r\nary_x\twall/1.5", "pres=\n\nsure 12", "wall ﬁow co\xadre\u20031.5", "", "x-", "wall"]
+    joined = "\n\n".join(map(scannoise.readable, texts))
+    words = Counter(w for w in scannoise._WORD.findall(scannoise._BREAK.sub("", joined)) if not w.isdigit())
+    shapes = Counter(map(scannoise.shape, scannoise._WITH_DIGIT.findall(joined))) + Counter(scannoise.shape(w) for w in words.elements())
+    got = scannoise.word_counts(spark.createDataFrame([(t,) for t in [*texts, None]], "content string"))
+    assert {r.word: r.n for r in got.collect()} == {w: n for w, n in words.items() if len(w) >= 2} | {scannoise.SHAPE + w: n for w, n in shapes.items()}
+
+
 def test_long_headers():
     journal = "Proceedings of the Streak Colloquium"
     title = "Steady flow over rough walls with slots of several widths that are closed one after the other at low speed"
